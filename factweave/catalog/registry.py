@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.catalog import pairing
+from factweave.catalog import checks, pairing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in [pairing]:
+for module in [pairing, checks]:
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
