@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.catalog import checks, pairing
+from factweave.catalog import checks, outcomes, pairing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in [pairing, checks]:
+for module in [pairing, checks, outcomes]:
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -153,8 +153,10 @@ def apply_rules(pairs: DataFrame, with_text: bool = True, explain: bool = True)
     out = {"relation": relation, "rules": rules, "relation_confidence": F.round(F.least("_ca", "_cb"), 2)}
     if explain:
         out["explanation"] = _explanation()
-    kept = p.withColumns(out)
-    return kept.drop(*[name for name in kept.columns if name.startswith("_")])
+    # One generated row per pair: a later filter on the outcome then reads it as a column
+    # instead of being rewritten into a copy of all the rule expressions below.
+    outcome = F.explode(F.array(F.struct(*[value.alias(name) for name, value in out.items()]))).alias("_r")
+    return p.select(*pairs.columns, outcome).select(*pairs.columns, "_r.*")
 
 
 def _explanation() -> Column:
