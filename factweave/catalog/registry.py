@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.catalog import checks, outcomes, pairing
+from factweave.catalog import checks, naming, outcomes, pairing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in [pairing, checks, outcomes]:
+for module in [pairing, checks, outcomes, naming]:
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

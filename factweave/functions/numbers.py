@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave import fixed_values as V
 
@@ -35,36 +35,51 @@ def _multiplier(lowered: Column) -> Column:
     return F.coalesce(*branches, F.lit(1.0))
 
 
-def normalized_number(raw: Column, value: Column | None = None) -> Column:
-    """struct(norm_value, norm_unit, currency) of a stated value.
+def with_number(df: DataFrame, raw: str, value: str | None = None, out: str = "number") -> DataFrame:
+    """Adds struct `out` (norm_value, norm_unit, currency) read from the stated value `raw`.
 
-    `value` is the number already read by the extractor, if any; it is scaled only while it
-    is smaller than a thousand.
+    `value` names the column with the number already read by the extractor, if any; it is
+    scaled only while it is smaller than a thousand. The steps are separate projections, so
+    that no intermediate text is computed twice.
     """
-    value = (F.lit(None) if value is None else value).cast("double")
-    text = strip(F.coalesce(raw, F.lit("")))
-    lowered = F.lower(text)
+    c = F.col
+    given = c(value).cast("double") if value else F.lit(None).cast("double")
+    text, lowered = c("_text"), c("_lowered")
     phrase = F.lit(False)
     for words in V.NEGATIVE_PHRASES:
         phrase = phrase | lowered.contains(words)
-    negative = text.rlike("(?U)" + V.PARENTHESISED_NUMBER) | text.startswith("-") | phrase
-    scale = _multiplier(lowered)
-    found = F.regexp_replace(F.regexp_extract(text, "(?U)" + V.NUMBER, 0), ",", "").try_cast("double") * scale
-    given = F.when((F.abs(value) < V.SCALE_ONLY_BELOW) & (scale > 1.0), value * scale).otherwise(value)
-    magnitude = F.when(value.isNotNull(), given).otherwise(found)
-    number = F.when(negative & (magnitude > 0), -magnitude).otherwise(magnitude)
-    currency = _currency(lowered)
+    found = F.regexp_replace(F.regexp_extract(text, "(?U)" + V.NUMBER, 0), ",", "").try_cast("double")
+    staged = (
+        df.withColumn("_text", strip(F.coalesce(raw, F.lit(""))))
+        .withColumns({"_lowered": F.lower("_text"), "_given": given})
+        .withColumns(
+            {
+                "_negative": text.rlike("(?U)" + V.PARENTHESISED_NUMBER) | text.startswith("-") | phrase,
+                "_scale": _multiplier(lowered),
+                "_found": found,
+                "_currency": _currency(lowered),
+            }
+        )
+        .withColumn(
+            "_size",
+            F.when(c("_given").isNull(), c("_found") * c("_scale"))
+            .when((F.abs("_given") < V.SCALE_ONLY_BELOW) & (c("_scale") > 1.0), c("_given") * c("_scale"))
+            .otherwise(c("_given")),
+        )
+        .withColumn("_number", F.when(c("_negative") & (c("_size") > 0), -c("_size")).otherwise(c("_size")))
+    )
     unit = (
         F.when(lowered.rlike("(?U)" + V.BASIS_POINT_WORDS), "bps")
         .when(text.contains("%") | lowered.rlike("(?U)" + V.PERCENT_WORDS), "pct")
-        .when(currency.isNotNull(), "currency")
-        .when(number.isNotNull(), "count")
+        .when(c("_currency").isNotNull(), "currency")
+        .when(c("_number").isNotNull(), "count")
         .when(text.rlike("(?U)" + V.DATE), "date")
         .otherwise("text")
     )
-    nothing = ((raw.isNull()) | (raw == "")) & value.isNull()
-    return F.when(
-        ~nothing, F.struct(number.alias("norm_value"), unit.alias("norm_unit"), currency.alias("currency"))
+    nothing = (F.coalesce(raw, F.lit("")) == "") & c("_given").isNull()
+    result = F.when(~nothing, F.struct(c("_number").alias("norm_value"), unit.alias("norm_unit"), c("_currency").alias("currency")))
+    return staged.withColumn(out, result).drop(
+        "_text", "_lowered", "_given", "_negative", "_scale", "_found", "_currency", "_size", "_number"
     )
 
 
