@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.catalog import checks, naming, outcomes, pairing
+from factweave.catalog import checks, naming, outcomes, pairing, papers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in [pairing, checks, outcomes, naming]:
+for module in [pairing, checks, outcomes, naming, papers]:
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
