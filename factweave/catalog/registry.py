@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.catalog import checks, naming, outcomes, pairing, papers
+from factweave.catalog import checks, naming, outcomes, pairing, papers, search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in [pairing, checks, outcomes, naming, papers]:
+for module in [pairing, checks, outcomes, naming, papers, search]:
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -1,0 +1 @@
+"""Incremental versions of intake, reconciliation and admission with Structured Streaming."""
