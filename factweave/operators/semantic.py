@@ -25,6 +25,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
 
+def _ids(values) -> pd.Series:
+    """Ids as plain objects, so that an empty or text column converts like any other."""
+    return pd.Series(list(values), dtype=object)
+
+
 def _unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(id, v) of length one; missing and zero vectors have no similarity and drop out."""
 
@@ -34,7 +39,7 @@ def _unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
                 m = _matrix(batch["v"])
                 size = np.linalg.norm(m, axis=1)
                 keep = size > 0
-                yield pd.DataFrame({"id": batch["id"][keep].to_numpy(), "v": list(m[keep] / size[keep, None])})
+                yield pd.DataFrame({"id": _ids(batch["id"][keep]), "v": list(m[keep] / size[keep, None])})
 
     source = df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     return source.mapInPandas(scale, T.StructType([source.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType()))]))
@@ -72,7 +77,7 @@ def _in_cells(units: DataFrame, pivots: np.ndarray, reach: float, home: bool, vi
             else:
                 native = np.zeros(len(rows), bool)
             yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[rows], "v": [batch["v"].iloc[i] for i in rows], "cell": columns.astype("int32"), "native": native,
+                "id": _ids(batch["id"].to_numpy()[rows]), "v": [batch["v"].iloc[i] for i in rows], "cell": columns.astype("int32"), "native": native,
             })
 
     schema = T.StructType([*units.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("native", T.BooleanType())])
@@ -108,13 +113,13 @@ def _multiply(units: DataFrame, threshold: float) -> DataFrame:
         else:
             left, right = group[group["native"]], group[~group["native"]]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a_id": [], "b_id": [], "similarity": []})
+            return pd.DataFrame({"a_id": _ids([]), "b_id": _ids([]), "similarity": pd.Series([], dtype="float64")})
         s = _matrix(left["v"]) @ _matrix(right["v"]).T
         hit = s > threshold
         if kind == "nn" and i == j:
             hit &= np.triu(np.ones_like(hit), 1)
         rows, columns = np.nonzero(hit)
-        return pd.DataFrame({"a_id": left["id"].to_numpy()[rows], "b_id": right["id"].to_numpy()[columns], "similarity": s[rows, columns]})
+        return pd.DataFrame({"a_id": _ids(left["id"].to_numpy()[rows]), "b_id": _ids(right["id"].to_numpy()[columns]), "similarity": s[rows, columns]})
 
     return units.groupBy("cell", "kind", "i", "j").applyInPandas(products, schema)
 

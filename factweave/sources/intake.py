@@ -8,7 +8,7 @@ from factweave import fixed_values as V
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Uploaded files as rows: path, content (binary), length."""
+    """Uploaded files as rows: path, content (binary), length. Spark itself skips files without any bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", "length")
 
 
