@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from factweave.catalog import views
 from factweave.operators import anomalies, calculations, disclosures
+from factweave.operators.ordered import previous_row
 from factweave.sources import facts as facts_of
 
 QUERIES: dict = {}
@@ -210,10 +211,9 @@ FROM quotients
 
 def _growth_requests(facts):
     revenue = facts.filter(F.col("attribute_canon") == "cost_of_goods_sold")
-    w = Window.partitionBy("entity_canon").orderBy("period")
-    return revenue.select("fact_id", F.lag("fact_id").over(w).alias("previous_id")).select(
-        F.concat(F.lit("growth|"), "fact_id").alias("calc_id"), F.col("fact_id").alias("current_id"), "previous_id"
-    )
+    rows = previous_row(revenue, ["entity_canon"], ["period"], ["period", "fact_id"], ["fact_id"])
+    return rows.select(F.concat(F.lit("growth|"), "fact_id").alias("calc_id"), F.col("fact_id").alias("current_id"),
+                       F.col("previous.fact_id").alias("previous_id"))
 
 
 def calc_growth(spark, folder):

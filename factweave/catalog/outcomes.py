@@ -16,8 +16,7 @@ ORACLES: dict = {}
 
 
 def _findings(spark, folder):
-    facts = facts_of.context_facts(spark, folder)
-    return analysis.run_analysis(facts, facts_of.metric_facts(spark, folder), with_text=False)
+    return analysis.run_analysis(pairing._context(spark, folder), facts_of.stored(facts_of.metric_facts(spark, folder)), with_text=False)
 
 
 FINDINGS_SQL = f"""

@@ -14,6 +14,11 @@ ORACLES: dict = {}
 SAME_PERIOD = ["entity_canon", "attribute_canon", "period"]
 
 
+def _context(spark, folder):
+    """The context facts, derived once and read by every branch of a query."""
+    return facts_of.stored(facts_of.context_facts(spark, folder), "context-facts")
+
+
 def fact_scan_enriched(spark, folder):
     facts = facts_of.enrich(
         facts_of.order_facts(spark, folder), facts_of.source_documents(spark, folder), facts_of.source_chunks(spark, folder)
@@ -43,7 +48,7 @@ def _known_relations(facts):
 
 
 def candidate_pairs_exact(spark, folder):
-    facts = facts_of.order_facts(spark, folder).select("fact_id", "document_id", "entity_canon", "attribute_canon", "period")
+    facts = facts_of.stored(facts_of.order_facts(spark, folder).select("fact_id", "document_id", "entity_canon", "attribute_canon", "period"))
     known = pairs.pair_up(facts.filter(F.col("period") == "FY1995"), ["entity_canon", "attribute_canon"]).select(
         F.col("b_fact_id").alias("fact_a"), F.col("a_fact_id").alias("fact_b")
     )
@@ -62,13 +67,13 @@ WHERE NOT (a.period = 'FY1995' AND b.period = 'FY1995')
 
 
 def _context_relations(spark, folder, explain=False):
-    facts = facts_of.context_facts(spark, folder)
+    facts = _context(spark, folder)
     compared = facts.select(*reconcile.COMPARED, "entity_canon", "attribute_canon")
     return facts, reconcile.apply_rules(pairs.pair_up(compared, SAME_PERIOD), with_text=False, explain=explain)
 
 
 def reconcile_pairs(spark, folder):
-    facts = facts_of.context_facts(spark, folder).select(*reconcile.COMPARED, "entity_canon", "attribute_canon")
+    facts = _context(spark, folder).select(*reconcile.COMPARED, "entity_canon", "attribute_canon")
     ruled = reconcile.apply_rules(pairs.exact_candidates(facts), with_text=False, explain=False)
     return ruled.select(
         "entity_canon", "attribute_canon", "a_fact_id", "b_fact_id", "relation",
@@ -84,7 +89,7 @@ SELECT entity_canon, attribute_canon, a_fact_id, b_fact_id, relation, rules, con
 
 
 def relation_counts(spark, folder):
-    return reconcile.relation_counts(facts_of.context_facts(spark, folder))
+    return reconcile.relation_counts(_context(spark, folder))
 
 
 QUERIES["relation_counts"] = relation_counts
@@ -94,6 +99,39 @@ SELECT relation, CAST(count(*) AS BIGINT) AS n_pairs FROM ruled GROUP BY relatio
 """
 
 
+def relation_ledger(spark, folder):
+    return reconcile.relation_ledger(_context(spark, folder)).drop("rules")
+
+
+QUERIES["relation_ledger"] = relation_ledger
+ORACLES["relation_ledger"] = f"""
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
+claim AS (SELECT fact_id, min(fact_id) OVER (PARTITION BY entity_canon, attribute_canon, period, scope, currency, norm_unit, norm_value,
+          coalesce(nullif(confidence, 0), 1) < 0.5) AS claim_id FROM facts),
+named AS (SELECT r.*, ka.claim_id AS ka, kb.claim_id AS kb FROM ruled r JOIN claim ka ON ka.fact_id = a_fact_id JOIN claim kb ON kb.fact_id = b_fact_id)
+SELECT entity_canon, attribute_canon, least(ka, kb) AS a_fact_id, greatest(ka, kb) AS b_fact_id, relation, count(*) AS n_pairs
+FROM named WHERE ca >= 0.5 AND cb >= 0.5 AND a_period = b_period GROUP BY ALL
+UNION ALL
+SELECT entity_canon, attribute_canon, NULL, NULL, relation, count(*) FROM named WHERE ca < 0.5 OR cb < 0.5 OR a_period <> b_period GROUP BY ALL
+"""
+
+
+def matrix_of_facts(spark, folder):
+    return relations.matrix_of_facts(_context(spark, folder))
+
+
+QUERIES["matrix_of_facts"] = matrix_of_facts
+_RELATION_COUNTS = ", ".join(f"count(CASE WHEN relation = '{r}' THEN 1 END) AS n_{r}" for r in ["contradicts", "contextual_variance", "needs_review", "corroborates"])
+ORACLES["matrix_of_facts"] = f"""
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
+cells AS (SELECT entity_canon, attribute_canon, count(*) AS n_facts FROM facts GROUP BY ALL),
+counts AS (SELECT c.entity_canon, c.attribute_canon, c.n_facts, {_RELATION_COUNTS}
+           FROM cells c LEFT JOIN ruled r ON r.entity_canon = c.entity_canon AND r.attribute_canon = c.attribute_canon GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN n_contradicts > 0 THEN 'contradicts' WHEN n_contextual_variance > 0 THEN 'contextual_variance'
+               WHEN n_needs_review > 0 THEN 'needs_review' WHEN n_corroborates > 0 THEN 'corroborates' END AS badge FROM counts
+"""
+
+
 def _stored(spark, folder):
     facts, ruled = _context_relations(spark, folder)
     return facts, reconcile.as_relations(ruled)
@@ -171,7 +209,7 @@ FROM facts f LEFT JOIN ranked r USING (fact_id) GROUP BY f.entity_canon, f.attri
 
 
 def tieout_findings(spark, folder):
-    found = tieouts.cross_document_findings(facts_of.context_facts(spark, folder), with_text=False)
+    found = tieouts.cross_document_findings(_context(spark, folder), with_text=False)
     return found.select(
         "case_id", "category", "severity",
         F.col("fact_ids")[0].alias("fact_a"), F.col("fact_ids")[1].alias("fact_b"),

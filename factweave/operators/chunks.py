@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave import fixed_values as V
 from factweave.functions.numbers import strip
+from factweave.operators.ordered import first_rows, positions
+
+SHELF = 10_000  # consecutive chunks numbered in one task
 
 
 def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -62,10 +65,14 @@ def transcribed_pages(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def within_budget(scans: DataFrame, budget: int = V.OCR_PAGE_BUDGET) -> DataFrame:
-    """Scan pages of each document: the first `budget` keep their route, the rest are skipped."""
-    position = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number"))
-    return scans.withColumn("position", position).withColumn(
-        "route", F.when(F.col("position") > budget, "skipped").otherwise("scan"))
+    """Scan pages of each document: the first `budget` keep their route, the rest are skipped.
+
+    Only the last page within the budget is looked up per document; documents are not sorted.
+    """
+    first = first_rows(scans.select("document_id", "page_number"), ["document_id"], [F.asc("page_number")], budget, "page_number")
+    limits = first.groupBy("document_id").agg(F.max("page_number").alias("_last"))
+    return scans.join(limits, "document_id").withColumn(
+        "route", F.when(F.col("page_number") > F.col("_last"), "skipped").otherwise("scan")).drop("_last")
 
 
 def chunk_class(chunk_type: Column, text: Column) -> Column:
@@ -76,10 +83,11 @@ def chunk_class(chunk_type: Column, text: Column) -> Column:
 def prioritised(chunks: DataFrame, narrative: int = V.NARRATIVE_BUDGET) -> DataFrame:
     """Chunks worth extracting: all tables and numeric text, the first narrative ones, in that order."""
     ranked = chunks.withColumn("priority", chunk_class(F.col("chunk_type"), F.col("text")))
-    inside = Window.partitionBy("document_id", "priority").orderBy("reading_order", "chunk_id")
-    kept = ranked.withColumn("_n", F.row_number().over(inside)).filter((F.col("priority") < 2) | (F.col("_n") <= narrative))
-    over = Window.partitionBy("document_id").orderBy("priority", "reading_order", "chunk_id")
-    return kept.withColumn("position", F.row_number().over(over)).drop("_n")
+    story = ranked.filter(F.col("priority") == 2)
+    kept = ranked.filter(F.col("priority") < 2).unionByName(
+        first_rows(story, ["document_id"], [F.asc("reading_order"), F.asc("chunk_id")], narrative, "chunk_id").drop("rank"))
+    shelved = kept.withColumn("_shelf", F.floor(F.col("reading_order") / SHELF))
+    return positions(shelved, ["document_id"], ["priority", "_shelf"], ["reading_order", "chunk_id"]).drop("_shelf")
 
 
 def windows(chunks: DataFrame, size: int = V.WINDOW_CHUNKS) -> DataFrame:

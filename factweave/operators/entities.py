@@ -114,6 +114,4 @@ def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, max_rounds:
 def known_canonicals(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct canonical names of the entity table; the alias table stands in while it is empty."""
     stored = entities.select(F.col("canonical_name").alias("name")).distinct()
-    empty = stored.limit(1).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 0)
-    fallback = aliases.select(F.col("canonical").alias("name")).distinct()
-    return stored.unionByName(fallback.join(F.broadcast(empty), F.lit(True)).select("name"))
+    return aliases.select(F.col("canonical").alias("name")).distinct() if stored.isEmpty() else stored

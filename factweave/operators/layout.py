@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factweave import fixed_values as V
 from factweave.functions.numbers import strip
 from factweave.functions.text import table_hints
+from factweave.operators.ordered import carry_forward, positions
 
 PAGE = ["document_id", "page_number"]
+SHELF = 1_000  # consecutive pages whose summaries meet in one task
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -85,14 +87,11 @@ def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 def with_heading(blocks: DataFrame) -> DataFrame:
     """Numbers the blocks of a document through its pages and carries the last heading forward."""
-    w = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
-    first_line = F.substring_index("text", "\n", 1)
-    return blocks.withColumns(
-        {
-            "document_order": F.row_number().over(w),
-            "heading": F.last(F.when(F.col("chunk_type") == "heading", first_line), True).over(w),
-        }
-    )
+    title = F.when(F.col("chunk_type") == "heading", F.substring_index("text", "\n", 1))
+    shelved = blocks.withColumns({"_title": title, "_shelf": F.floor(F.col("page_number") / SHELF)})
+    order, segments = ["page_number", "reading_order"], ["_shelf", "page_number"]
+    numbered = positions(shelved, ["document_id"], segments, order, "document_order")
+    return carry_forward(numbered, ["document_id"], segments, order, "_title", "heading").drop("_title", "_shelf")
 
 
 def table_markdown(headers: Column, rows: Column) -> Column:

@@ -36,6 +36,52 @@ def _carry_over(tails: DataFrame, group: list[str], segments: list[str]) -> Data
     )
 
 
+def carry_forward(df: DataFrame, group: list[str], segments: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds `out`: the last non-null `value` up to and including the row, per group in `order`.
+
+    Works segment by segment like `previous_row`; segments hand on their last value.
+    """
+    known = F.col(value).isNotNull()
+    inner = Window.partitionBy(*group, *segments).orderBy(*order)
+    filled = df.withColumn("_inside", F.last(value, True).over(inner))
+    tails = df.groupBy(*group, *segments).agg(
+        F.max_by(F.when(known, F.col(value)), F.when(known, F.struct(*order))).alias("_tail")
+    )
+    heads = _hand_on(tails, group, segments)
+    return filled.join(heads, [*group, *segments], "left").withColumn(out, F.coalesce("_inside", "_before")).drop("_inside", "_before")
+
+
+def _hand_on(tails: DataFrame, group: list[str], segments: list[str]) -> DataFrame:
+    outer, last = segments[:-1], segments[-1]
+    w = Window.partitionBy(*group, *outer).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    here = tails.withColumn("_near", F.last("_tail", True).over(w))
+    if not outer:
+        return here.select(*group, *segments, F.col("_near").alias("_before"))
+    known = F.col("_tail").isNotNull()
+    ends = tails.groupBy(*group, *outer).agg(F.max_by(F.when(known, F.col("_tail")), F.when(known, F.col(last))).alias("_tail"))
+    far = _hand_on(ends, group, outer)
+    return here.join(far, [*group, *outer], "left").select(*group, *segments, F.coalesce("_near", "_before").alias("_before"))
+
+
+def positions(df: DataFrame, group: list[str], segments: list[str], order: list[str], out: str = "position") -> DataFrame:
+    """Adds `out`: 1, 2, 3 ... per group in `order`; segments are numbered alone and shifted by
+    the number of rows in the segments before them."""
+    inner = Window.partitionBy(*group, *segments).orderBy(*order)
+    numbered = df.withColumn("_inside", F.row_number().over(inner))
+    shifts = _shift(df.groupBy(*group, *segments).agg(F.count(F.lit(1)).alias("_n")), group, segments)
+    return numbered.join(shifts, [*group, *segments]).withColumn(out, (F.col("_inside") + F.col("_shift")).cast("int")).drop("_inside", "_shift")
+
+
+def _shift(sizes: DataFrame, group: list[str], segments: list[str]) -> DataFrame:
+    outer, last = segments[:-1], segments[-1]
+    w = Window.partitionBy(*group, *outer).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    here = sizes.withColumn("_near", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    if not outer:
+        return here.select(*group, *segments, F.col("_near").alias("_shift"))
+    far = _shift(sizes.groupBy(*group, *outer).agg(F.sum("_n").alias("_n")), group, outer)
+    return here.join(far, [*group, *outer]).select(*group, *segments, (F.col("_near") + F.col("_shift")).alias("_shift"))
+
+
 def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int, tie: str, salts: int = 64) -> DataFrame:
     """The first n rows of each group; salted slices are cut to n before the groups meet."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))

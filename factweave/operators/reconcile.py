@@ -227,15 +227,17 @@ def claims(facts: DataFrame, more_keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def relation_counts(facts: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Number of fact pairs per relation (numeric facts), per `group` columns if given.
-
-    Pairs with a low-confidence side or with two different periods are counted by
-    arithmetic on group sizes. Only claims that agree on the period (or lack one) meet in a
-    join, weighted by their number of members.
+def relation_ledger(facts: DataFrame) -> DataFrame:
+    """All fact pairs of numeric facts, accounted for without listing them.
+
+    Rows: entity_canon, attribute_canon, a_fact_id, b_fact_id, relation, rules, n_pairs.
+    Facts that say the same are one claim, named by its smallest fact id; claims that agree on
+    the period (or lack one) meet in a join and carry the number of fact pairs they stand for.
+    Pairs with a low-confidence side and pairs of two different periods need no comparison:
+    they are counted by arithmetic on group sizes, one row per group with null ids.
     """
     by = ["entity_canon", "attribute_canon"]
-    c = claims(facts)
+    c = claims(facts.dropna(subset=by))
     n = F.col("members")
     choose2 = lambda x: x * (x - 1) / 2
     per_period = c.groupBy(*by, "period_key").agg(
@@ -245,25 +247,30 @@ def relation_counts(facts: DataFrame, group: list[str] | None = None) -> DataFra
     sizes = per_period.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum(dated).alias("dated"), F.sum(dated * dated).alias("squares")
     )
+    none = F.lit(None).cast("string")
+    counted = lambda relation, rule, pairs: F.struct(
+        F.lit(relation).alias("relation"), F.array(F.lit(rule)).alias("rules"), pairs.alias("n_pairs"))
     arithmetic = sizes.select(
         *by,
         F.explode(
             F.array(
-                F.struct(F.lit("needs_review").alias("relation"), (choose2(F.col("n")) - choose2(F.col("ok"))).alias("n_pairs")),
-                F.struct(F.lit("contextual_variance").alias("relation"),
-                         ((F.col("dated") * F.col("dated") - F.col("squares")) / 2).alias("n_pairs")),
+                counted("needs_review", "R1:low_confidence", choose2(F.col("n")) - choose2(F.col("ok"))),
+                counted("contextual_variance", "R2:context_diff:period", (F.col("dated") * F.col("dated") - F.col("squares")) / 2),
             )
         ).alias("r"),
-    ).select(*by, "r.*")
+    ).select(*by, none.alias("a_fact_id"), none.alias("b_fact_id"), "r.*")
     sure = c.filter(~F.col("low")).withColumn("period", F.nullif("period_key", F.lit("")))
     same = pair_up(sure, [*by, "period_key"], with_self=True)
-    undated = sure.filter(F.col("period_key") == "")
-    dated_claims = sure.filter(F.col("period_key") != "")
-    mixed = pair_across(undated, dated_claims, by)
+    mixed = pair_across(sure.filter(F.col("period_key") == ""), sure.filter(F.col("period_key") != ""), by)
     met = same.drop("period_key").unionByName(mixed.drop("a_period_key", "b_period_key"))
     weight = F.when(F.col("a_fact_id") == F.col("b_fact_id"), choose2(F.col("a_members"))).otherwise(
         F.col("a_members") * F.col("b_members")
     )
-    compared = apply_rules(met, with_text=False, explain=False).select(*by, "relation", weight.alias("n_pairs"))
-    counted = arithmetic.unionByName(compared).filter(F.col("n_pairs") > 0)
-    return counted.groupBy(*(group or []), "relation").agg(F.sum("n_pairs").cast("long").alias("n_pairs"))
+    compared = apply_rules(met, with_text=False, explain=False).select(
+        *by, "a_fact_id", "b_fact_id", "relation", "rules", weight.alias("n_pairs"))
+    return arithmetic.unionByName(compared).filter(F.col("n_pairs") > 0).withColumn("n_pairs", F.col("n_pairs").cast("long"))
+
+
+def relation_counts(facts: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Number of fact pairs per relation, per `group` columns if given."""
+    return relation_ledger(facts).groupBy(*(group or []), "relation").agg(F.sum("n_pairs").alias("n_pairs"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave import fixed_values as V
 from factweave.operators.pairs import directed
+from factweave.operators.reconcile import relation_counts
 
 
 def expand_relations(
@@ -92,3 +93,16 @@ def entity_matrix(facts: DataFrame, relations: DataFrame) -> DataFrame:
         .withColumn("badge", badge_of_rank(F.col("rank")))
         .drop("rank")
     )
+
+
+def matrix_of_facts(facts: DataFrame) -> DataFrame:
+    """The matrix with pair counts per relation, straight from facts; no pair is listed."""
+    by = ["entity_canon", "attribute_canon"]
+    counts = relation_counts(facts, by)
+    wide = counts.groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.when(F.col("relation") == r, F.col("n_pairs"))), F.lit(0)).alias(f"n_{r}") for r in V.RELATIONS],
+        F.min(badge_rank(F.col("relation"))).alias("rank"),
+    )
+    cells = facts.dropna(subset=by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_facts")).join(wide, by, "left")
+    filled = cells.na.fill(0, [f"n_{r}" for r in V.RELATIONS])
+    return filled.withColumn("badge", badge_of_rank(F.col("rank"))).drop("rank")

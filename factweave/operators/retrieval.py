@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factweave import fixed_values as V
 from factweave.functions.numbers import strip
@@ -30,12 +34,37 @@ def search_facts(facts: DataFrame, query_vector: list[float] | None = None, limi
 
 
 def vector_top_k(facts: DataFrame, queries: dict[str, list[float]], k: int, id_column: str = "fact_id", vector: str = "embedding") -> DataFrame:
-    """The k most similar facts of each query vector of a request, in one pass over the facts."""
-    asked = [(name, v) for name, v in queries.items() if usable(v)]
+    """The k most similar facts of each query vector of a request, in one pass over the facts.
+
+    Each task multiplies its batches with the query vectors and keeps k rows per query; only
+    those are shuffled.
+    """
+    asked = {name: v for name, v in queries.items() if usable(v)}
     if not asked:
         raise ValueError("no usable query vector")
-    scores = F.array(*[F.struct(F.lit(name).alias("query"), cosine_to(F.col(vector), v).alias("similarity")) for name, v in asked])
-    rows = facts.select(id_column, F.explode(scores).alias("s")).select(id_column, "s.query", "s.similarity").filter(F.col("similarity").isNotNull())
+    names = list(asked)
+    matrix = np.array([asked[n] for n in names], dtype="float64")
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = np.stack([np.asarray(v, dtype="float64") for v in batch["v"]])
+            size = np.linalg.norm(m, axis=1)
+            some = size > 0
+            s = (m[some] / size[some, None]) @ matrix.T
+            ids = batch["id"][some].to_numpy()
+            parts = [pd.DataFrame({"id": pd.Series(list(ids), dtype=object), "query": n, "similarity": s[:, i]}) for i, n in enumerate(names)]
+            merged = pd.concat([*parts] if kept is None else [kept, *parts])
+            kept = merged.sort_values(["query", "similarity", "id"], ascending=[True, False, True]).groupby("query").head(k)
+        if kept is not None:
+            yield kept
+
+    source = facts.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    schema = T.StructType([source.schema["id"], T.StructField("query", T.StringType()), T.StructField("similarity", T.DoubleType())])
+    rows = source.mapInPandas(best, schema).withColumnRenamed("id", id_column)
     return first_rows(rows, ["query"], [F.desc("similarity"), F.col(id_column)], k, id_column)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factweave.session import write_through
 from factweave.sources.tables import read_table
 
 FACT_COLUMNS = [
@@ -251,3 +252,8 @@ def with_defaults(facts: DataFrame) -> DataFrame:
         "quote": F.coalesce("quote", F.lit("")) if "quote" in facts.columns else F.lit(""),
     }
     return facts.withColumns(columns)
+
+
+def stored(facts: DataFrame, name: str = "facts") -> DataFrame:
+    """The facts as a table of the shared folder, so that many readers share one derivation."""
+    return write_through(facts, name)

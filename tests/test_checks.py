@@ -152,3 +152,17 @@ def test_findings_order_filter_and_decisions(spark):
     decisions = spark.createDataFrame([("1", "resolved", 1), ("1", "nonsense", 2), ("2", "dismissed", 1)], "finding_id string, status string, decided_at int")
     after = findings.apply_decisions(table, decisions.filter("decided_at = 1"), "finding_id", {"status": ["open", "resolved", "dismissed"]})
     assert {r["finding_id"]: r["status"] for r in after.collect()} == {"1": "resolved", "2": "dismissed", "3": "dismissed"}
+
+
+def test_positions_and_carried_values_equal_plain_windows(spark):
+    from factweave.operators.ordered import carry_forward, positions
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice("ab"), rnd.randrange(3), rnd.randrange(4), rnd.choice([None, None, f"h{i}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, s int, t int, h string")
+    w = Window.partitionBy("g").orderBy("s", "t", "id")
+    plain = df.select("id", F.row_number().over(w).alias("n"), F.last("h", True).over(w).alias("c"))
+    order = ["s", "t", "id"]
+    got = carry_forward(positions(df, ["g"], ["s", "t"], order), ["g"], ["s", "t"], order, "h", "carried").join(plain, "id")
+    assert got.count() == 200
+    assert got.filter((F.col("position") != F.col("n")) | ~F.col("carried").eqNullSafe(F.col("c"))).count() == 0
