@@ -9,9 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factweave import fixed_values as V
 
 
-def strip(text: Column) -> Column:
+# every character that counts as white space in Unicode
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(text: Column | str) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def falsy_confidence(confidence: Column) -> Column:

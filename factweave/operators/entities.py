@@ -25,8 +25,11 @@ def _edits(short: Column, long: Column, ratio: float) -> Column:
     return (F.ceil(F.lit(1 - ratio / 100) * (short + long) - F.lit(1e-9)) - 1).cast("int")
 
 
-def similar_names(left: DataFrame, right: DataFrame, ratio: float = V.ENTITY_RATIO) -> DataFrame:
-    """(left_name, right_name, score) for every pair with score > ratio; both have a column `name`."""
+def similar_names(left: DataFrame, right: DataFrame | None = None, ratio: float = V.ENTITY_RATIO) -> DataFrame:
+    """(left_name, right_name, score) for every pair with score > ratio; both have a column `name`.
+
+    Without `right` the names of `left` are compared with each other, each pair once, smaller name first.
+    """
     growth = (200 - ratio) / ratio  # the longer text is at most this many times the shorter one
 
     def texts(df: DataFrame) -> DataFrame:
@@ -57,11 +60,16 @@ def similar_names(left: DataFrame, right: DataFrame, ratio: float = V.ENTITY_RAT
             "name", "n", "m", "i", F.expr("substring(t, at + 1, size)").alias("piece")).distinct()
 
     keys = ["n", "m", "i", "piece"]
-    l, r = texts(left), texts(right)
-    one = pieces(l).withColumnRenamed("name", "left_name").join(windows(r).withColumnRenamed("name", "right_name"), keys)
-    two = windows(l).withColumnRenamed("name", "left_name").join(pieces(r).withColumnRenamed("name", "right_name"), keys)
-    candidates = one.select("left_name", "right_name").union(two.select("left_name", "right_name")).filter(
-        F.col("left_name") != F.col("right_name")).distinct()
+    meet = lambda a, b: pieces(a).withColumnRenamed("name", "short").join(windows(b).withColumnRenamed("name", "long"), keys)
+    if right is None:
+        # each pair once: the shorter name first, equal lengths in either order
+        own = texts(left)
+        candidates = meet(own, own).select(F.least("short", "long").alias("left_name"), F.greatest("short", "long").alias("right_name"))
+    else:
+        l, r = texts(left), texts(right)
+        candidates = meet(l, r).select(F.col("short").alias("left_name"), F.col("long").alias("right_name")).union(
+            meet(r, l).select(F.col("long").alias("left_name"), F.col("short").alias("right_name")))
+    candidates = candidates.filter(F.col("left_name") != F.col("right_name")).distinct()
     scored = candidates.withColumn("score", token_sort_ratio(F.lower("left_name"), F.lower("right_name")))
     return scored.filter(F.col("score") > ratio)
 
@@ -79,29 +87,37 @@ def best_canonical(names: DataFrame, canonicals: DataFrame, ratio: float = V.ENT
     )
 
 
-def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, max_rounds: int = 1000) -> DataFrame:
+def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, order: str | None = None, max_rounds: int = 1000) -> DataFrame:
     """Each name with its canonical name: names are taken in order and join the best earlier
     canonical name above the ratio, or become canonical themselves.
 
+    `order` is the column that says when a name was first seen; without it names are taken in
+    the fixed, well mixed order of their hash, which keeps the number of rounds small.
+
     The order dependence is resolved in rounds. A name all of whose earlier matches are known
     followers is canonical; a match of a canonical earlier name is a follower. Each round is a
     few joins over the match table, written to the shared folder.
     """
-    ordered = write_through(names.select("name").distinct(), "names")
-    matches = similar_names(ordered, ordered, ratio).filter(F.col("left_name") > F.col("right_name")).select(
-        F.col("left_name").alias("later"), F.col("right_name").alias("earlier"), "score")
-    edges = write_through(matches, "name-matches")
-    state = write_through(ordered.withColumn("role", F.lit("open")), "name-roles")
+    rank = F.min(order) if order else F.xxhash64("name")
+    ordered = write_through(names.groupBy("name").agg(rank.alias("seen")), "names")
+    seen = lambda side: ordered.select(F.col("name").alias(f"{side}_name"), F.col("seen").alias(f"{side}_seen"))
+    matches = similar_names(ordered, None, ratio).join(seen("left"), "left_name").join(seen("right"), "right_name")
+    left_later = F.struct("left_seen", "left_name") > F.struct("right_seen", "right_name")
+    edges = write_through(
+        matches.select(F.when(left_later, F.col("left_name")).otherwise(F.col("right_name")).alias("later"),
+                       F.when(left_later, F.col("right_name")).otherwise(F.col("left_name")).alias("earlier"), "score"), "name-matches")
+    state = write_through(ordered.select("name", F.lit("open").alias("role")), "name-roles")
+    live = edges
     for _ in range(max_rounds):
         open_names = state.filter(F.col("role") == "open").select("name")
         if open_names.isEmpty():
             break
-        waiting = edges.join(open_names.withColumnRenamed("name", "earlier"), "earlier", "left_semi").select(F.col("later").alias("name")).distinct()
-        fresh = open_names.join(waiting, "name", "left_anti")
-        leaders = state.filter(F.col("role") == "leader").select("name").union(fresh)
-        led = edges.join(leaders.withColumnRenamed("name", "earlier"), "earlier", "left_semi").select(F.col("later").alias("name")).distinct()
-        marks = fresh.withColumn("new", F.lit("leader")).unionByName(
-            open_names.join(led, "name", "left_semi").withColumn("new", F.lit("follower")))
+        as_earlier, as_later = open_names.withColumnRenamed("name", "earlier"), open_names.withColumnRenamed("name", "later")
+        # only matches between open names can still decide anything
+        live = write_through(live.join(as_earlier, "earlier", "left_semi").join(as_later, "later", "left_semi").select("later", "earlier"), "open-matches")
+        fresh = open_names.join(live.select(F.col("later").alias("name")), "name", "left_anti")
+        led = live.join(fresh.withColumnRenamed("name", "earlier"), "earlier", "left_semi").select(F.col("later").alias("name")).distinct()
+        marks = fresh.withColumn("new", F.lit("leader")).unionByName(led.withColumn("new", F.lit("follower")))
         state = write_through(
             state.join(marks, "name", "left").select("name", F.coalesce("new", "role").alias("role")), "name-roles")
     leaders = state.filter(F.col("role") == "leader").select(F.col("name").alias("earlier"))

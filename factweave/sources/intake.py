@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factweave import fixed_values as V
+from factweave.functions.numbers import strip
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -45,7 +46,7 @@ def with_original(documents: DataFrame, key: str, sha: str = "sha256") -> DataFr
 
 def page_route(text: Column, images: Column | None = None, failed: Column | None = None) -> Column:
     """text, scan, empty or error, by the number of characters on the page."""
-    chars = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    chars = F.length(strip(F.coalesce(text, F.lit(""))))
     pictures = images if images is not None else F.lit(0)
     broken = failed if failed is not None else F.lit(False)
     return (

@@ -88,18 +88,26 @@ def test_similar_names_against_brute_force(spark):
         expected = {(a, b) for a in names for b in names if a != b and _sorted_ratio(a, b) > ratio}
         got = {(r["left_name"], r["right_name"]) for r in entities.similar_names(df, df, ratio).collect()}
         assert got == expected
+        own = {(r["left_name"], r["right_name"]) for r in entities.similar_names(df, None, ratio).collect()}
+        assert own == {(a, b) for a, b in expected if a < b}
 
 
-def test_canonical_names_against_one_by_one(spark):
-    names = noisy_names()
+def one_by_one(names):
     leaders, expected = [], {}
     for name in names:
         scored = [(-_sorted_ratio(name, c), c) for c in leaders if _sorted_ratio(name, c) > 92.0]
         expected[name] = min(scored)[1] if scored else name
         if not scored:
             leaders.append(name)
-    df = spark.createDataFrame([(n,) for n in names], "name string")
-    assert {r["name"]: r["canonical"] for r in entities.canonical_names(df).collect()} == expected
+    return expected
+
+
+def test_canonical_names_against_one_by_one(spark):
+    names = noisy_names()
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, seen int")
+    assert {r["name"]: r["canonical"] for r in entities.canonical_names(df, order="seen").collect()} == one_by_one(names)
+    mixed = [r["name"] for r in df.orderBy(F.xxhash64("name"), "name").collect()]
+    assert {r["name"]: r["canonical"] for r in entities.canonical_names(df).collect()} == one_by_one(mixed)
 
 
 def test_known_canonicals_fall_back_to_aliases(spark):
