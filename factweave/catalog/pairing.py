@@ -41,12 +41,6 @@ WHERE f.document_id IN ('1-URGENT', '2-HIGH', '5-LOW') AND f.attribute_canon = '
 """
 
 
-def _known_relations(facts):
-    """Relations stored by an earlier run: those of the fiscal year 1995."""
-    known = pairs.pair_up(facts.filter(F.col("period") == "FY1995").select(*reconcile.COMPARED, "entity_canon", "attribute_canon"), SAME_PERIOD)
-    return known.select(F.col("b_fact_id").alias("fact_a"), F.col("a_fact_id").alias("fact_b"))
-
-
 def candidate_pairs_exact(spark, folder):
     facts = facts_of.stored(facts_of.order_facts(spark, folder).select("fact_id", "document_id", "entity_canon", "attribute_canon", "period"))
     known = pairs.pair_up(facts.filter(F.col("period") == "FY1995"), ["entity_canon", "attribute_canon"]).select(

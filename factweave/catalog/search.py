@@ -136,7 +136,8 @@ WHERE (a.label = b.label AND a.vec_id % 25 = b.vec_id % 25) OR (a.label <> b.lab
 def hybrid_retrieval(spark, folder):
     facts = _document_facts(spark, folder).join(
         read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding"), "fact_id", "left")
-    ex = {r["label"]: [float(x) for x in r["embedding"]] for r in _exemplars(spark, folder).orderBy("label").limit(100).collect()}
+    asked = _exemplars(spark, folder).filter(F.col("label").isin(0, 1, 2))
+    ex = {r["label"]: [float(x) for x in r["embedding"]] for r in asked.collect()}
     rows = retrieval.hybrid(facts, [("that thing", ex[0]), ("src2 que", ex[1]), ("qqqq", ex[2])])
     lines = retrieval.with_context_lines(rows.withColumns({"period": F.lit(None).cast("string"), "scope": F.lit(None).cast("string"),
                                                           "filename": F.lit("corpus"), "page": F.lit(0)}))

@@ -84,13 +84,12 @@ def keyword_search(facts: DataFrame, tokens: list[str], limit: int = 8, id_colum
 
 
 def text_filter(rows: DataFrame, text: str) -> DataFrame:
-    """Rows with the text anywhere in any column."""
+    """Rows with the text anywhere in any column, in any case."""
     wanted = text.strip().lower()
     if not wanted:
         return rows
-    return rows.filter(matches_any([wanted], [f"`{c}`" for c in rows.columns])) if all(
-        t == "string" for _, t in rows.dtypes) else rows.filter(
-        F.exists(F.array(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]), lambda x: x.contains(wanted)))
+    shown = F.array(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns])
+    return rows.filter(F.exists(shown, lambda x: x.contains(wanted)))
 
 
 def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
