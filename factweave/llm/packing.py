@@ -183,7 +183,7 @@ def assign(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
     demand = np.array([histogram.get(c, 0) for c in range(1, n_classes + 1)], np.int64)
     places = Places(solve(demand, n_classes), n_classes)
     shards = max(1, sum(histogram.values()) // SHARD_ROWS)
-    order = ["doc_id", "start", "length", *[c for c in carried if c not in ("doc_id", "start", "length")]]
+    order = [c for c in carried if c != "length"]
     sharded = classed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int"))
     ranked = _ranked(sharded, order)
 
@@ -202,7 +202,12 @@ def assign(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, unit: int = UNIT, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """All pieces with their ids and places. Without `keep_ids` the ids go through no shuffle and
-    only their CRC-32 is returned (ids_crc32)."""
-    pieces = token_pieces(docs, tokenizer, size, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    return assign(write_through(pieces if keep_ids else pieces.drop("ids"), "pieces"), size, unit)
+    """All pieces with their ids and places. Places are found without the ids, which then meet
+    them in one join; without `keep_ids` only their CRC-32 (ids_crc32) is kept."""
+    found = token_pieces(docs, tokenizer, size, end_id).select(
+        F.monotonically_increasing_id().alias("piece_no"), "doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
+    pieces = write_through(found if keep_ids else found.drop("ids"), "pieces")
+    placed = assign(pieces.drop("ids"), size, unit)
+    if keep_ids:
+        placed = placed.join(pieces.select("piece_no", "ids"), "piece_no")
+    return placed.drop("piece_no")

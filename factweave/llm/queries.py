@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from factweave.llm import chat, exact_index, langid, mixing, packing, simhash
+from factweave.llm import chat, exact_index, html_text, langid, mixing, packing, simhash, syncmers
 from factweave.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(read_table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
@@ -23,6 +28,10 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_groups(read_table(spark, folder, "documents"))
 
 
+def op4_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edit_report(read_table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(read_table(spark, folder, "documents"), TOKENIZER, keep_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -49,7 +58,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_chat_format, op3_simhash, op6_packing, op7_poisson_mixing, op8_exact_dedup, op10_language_id, pipeline)}
+    op1_main_text, op2_chat_format, op3_simhash, op4_syncmers, op6_packing, op7_poisson_mixing, op8_exact_dedup, op10_language_id, pipeline)}
 
 ORACLES = {
     "op7_poisson_mixing": """
