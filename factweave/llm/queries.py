@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from factweave.llm import chat, exact_index, html_text, langid, mixing, packing, simhash, syncmers
+from factweave.llm import chat, exact_index, html_text, langid, mixing, packing, repeats, simhash, syncmers
 from factweave.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,11 @@ def op4_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.edit_report(read_table(spark, folder, "documents"))
 
 
+def op5_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(read_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(read_table(spark, folder, "documents"), TOKENIZER, keep_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -58,7 +63,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_main_text, op2_chat_format, op3_simhash, op4_syncmers, op6_packing, op7_poisson_mixing, op8_exact_dedup, op10_language_id, pipeline)}
+    op1_main_text, op2_chat_format, op3_simhash, op4_syncmers, op5_recompression, op6_packing, op7_poisson_mixing, op8_exact_dedup, op10_language_id, pipeline)}
 
 ORACLES = {
     "op7_poisson_mixing": """
