@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from factweave.llm import chat, exact_index, html_text, langid, mixing, packing, repeats, simhash, syncmers
+from factweave.llm import chat, exact_index, html_text, langid, mixing, packing, repeats, simhash, suffix_tree, syncmers
 from factweave.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,10 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_index.duplicate_report(read_table(spark, folder, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score_documents(read_table(spark, folder, "documents"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -63,7 +67,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_main_text, op2_chat_format, op3_simhash, op4_syncmers, op5_recompression, op6_packing, op7_poisson_mixing, op8_exact_dedup, op10_language_id, pipeline)}
+    op1_main_text, op2_chat_format, op3_simhash, op4_syncmers, op5_recompression, op6_packing, op7_poisson_mixing, op8_exact_dedup, op9_suffix_tree,
+    op10_language_id, pipeline)}
 
 ORACLES = {
     "op7_poisson_mixing": """
