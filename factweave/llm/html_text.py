@@ -6,7 +6,8 @@ odds learned from labelled pages: those whose markup names its content (one oute
 or main element), where tokens inside are content and the others are not. They are counted over
 all labelled pages, per tag name, and for words per name of the block around them; there are
 fewer than 200 names, so what reaches the driver is bounded. A border of article or main can't
-lie inside a region.
+lie inside a region. Inside them the page has labelled itself: each word scores START_WORD, a
+link's tag LINK and other tags LEAST, so that only link lists at the ends are cut off.
 
 Elements that never hold article text (menus, asides, forms, footers, scripts, ... by name, role
 or class) are left out: their words score nothing, their tags count, and their text is dropped
@@ -54,7 +55,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-START_WORD, START_TAG, LEAST, MOST = 1.0, -1.0, 0.05, 6.0
+START_WORD, START_TAG, LINK, LEAST, MOST = 1.0, -1.0, -1.0, 0.05, 6.0
 
 
 def _noisy(value: str, words: set[str]) -> bool:
@@ -238,7 +239,7 @@ def learn(pages: DataFrame, html: Column) -> Weights:
     return weights
 
 
-def best_region(events: list[Event], weights: Weights, region_name: str) -> tuple[int, int]:
+def best_region(events: list[Event], weights: Weights) -> tuple[int, int]:
     """The half-open range of events with the largest sum; borders of a region start anew."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     region = events[0].region if events else 0
@@ -246,9 +247,11 @@ def best_region(events: list[Event], weights: Weights, region_name: str) -> tupl
         if e.region != region:
             total, start, region = 0.0, i, e.region
         if e.text:
-            score = e.n_words * weights.word.get(e.name, START_WORD)
+            score = e.n_words * (START_WORD if region else weights.word.get(e.name, START_WORD))
+        elif region:
+            score = 0.0 if e.dropped else LINK if e.name == "a" else -LEAST
         else:
-            score = 0.0 if e.name == region_name else weights.tag.get(e.name, START_TAG)
+            score = weights.tag.get(e.name, START_TAG)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -276,7 +279,7 @@ def main_text(html: str, weights: Weights) -> str:
     """The article's blocks, joined by line feeds."""
     for by_class in (True, False):  # a page whose class names drop everything is read without them
         events, _ = read_page(html, by_class)
-        start, end = best_region(events, weights, "article" if "<article" in html.lower() else "main")
+        start, end = best_region(events, weights)
         blocks = _blocks(events[start:end])
         if blocks:
             return "\n".join(blocks)

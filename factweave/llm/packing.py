@@ -62,7 +62,8 @@ def _best_pattern(prices: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     usable = np.where(demand > 0, prices, -1.0)
     value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        gains = usable[:room] + value[room - 1 :: -1][:room]  # class c leaves room - c
+        k = min(room, len(prices))
+        gains = usable[:k] + value[room - k : room][::-1]  # class c leaves room - c
         c = int(np.argmax(gains))
         if gains[c] > value[room - 1]:
             value[room], choice[room] = gains[c], c + 1
