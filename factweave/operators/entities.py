@@ -87,7 +87,7 @@ def best_canonical(names: DataFrame, canonicals: DataFrame, ratio: float = V.ENT
     )
 
 
-def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, order: str | None = None, max_rounds: int = 1000) -> DataFrame:
+def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, order: str | None = None) -> DataFrame:
     """Each name with its canonical name: names are taken in order and join the best earlier
     canonical name above the ratio, or become canonical themselves.
 
@@ -96,7 +96,8 @@ def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, order: str
 
     The order dependence is resolved in rounds. A name all of whose earlier matches are known
     followers is canonical; a match of a canonical earlier name is a follower. Each round is a
-    few joins over the match table, written to the shared folder.
+    few joins over the match table, written to the shared folder. The first open name in order
+    is settled in each round at the latest, so the loop ends, and it ends with no name open.
     """
     rank = F.min(order) if order else F.xxhash64("name")
     ordered = write_through(names.groupBy("name").agg(rank.alias("seen")), "names")
@@ -108,7 +109,7 @@ def canonical_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, order: str
                        F.when(left_later, F.col("right_name")).otherwise(F.col("left_name")).alias("earlier"), "score"), "name-matches")
     state = write_through(ordered.select("name", F.lit("open").alias("role")), "name-roles")
     live = edges
-    for _ in range(max_rounds):
+    while True:
         open_names = state.filter(F.col("role") == "open").select("name")
         if open_names.isEmpty():
             break

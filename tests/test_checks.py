@@ -166,3 +166,18 @@ def test_positions_and_carried_values_equal_plain_windows(spark):
     got = carry_forward(positions(df, ["g"], ["s", "t"], order), ["g"], ["s", "t"], order, "h", "carried").join(plain, "id")
     assert got.count() == 200
     assert got.filter((F.col("position") != F.col("n")) | ~F.col("carried").eqNullSafe(F.col("c"))).count() == 0
+
+
+def test_calculations_take_any_scale(spark, make_facts):
+    facts = make_facts(*[dict(fact_id=k, norm_value=v) for k, v in
+                         [("t6", 0.00006), ("t4", 0.00004), ("b2", 2e18), ("b1", 1e18), ("e20", 2e-20), ("e21", 1e-20), ("z", 0.0), ("n", -7.5), ("third", 3.0)]])
+    ask = [("1", "ratio", "t6", "t4"), ("2", "ratio", "b2", "b1"), ("3", "ratio", "e20", "e21"), ("4", "ratio", "b1", "z"), ("5", "ratio", "n", "third"),
+           ("6", "ratio", "e20", "b1"), ("7", "ratio", "b1", "e20"), ("8", "ratio", "t4", "none")]
+    got = {r.calc_id: (r.result, r.error) for r in calculations.calculate_ratio(spark.createDataFrame(ask, "calc_id string, formula_name string, numerator_id string, denominator_id string"), facts).collect()}
+    assert [float(got[k][0]) for k in "1235"] == [1.5, 2.0, 2.0, -2.5]
+    assert got["4"] == (None, "Division by zero") and got["8"] == (None, "Missing input values") and got["7"] == (None, "Value out of range")
+    assert float(got["6"][0]) == 0.0
+    growth = calculations.calculate_growth(spark.createDataFrame([("1", "t6", "t4"), ("2", "b2", "b1")], "calc_id string, current_id string, previous_id string"), facts)
+    assert {r.calc_id: float(r.result) for r in growth.collect()} == {"1": 50.0, "2": 100.0}
+    foot = calculations.cross_foot(spark.createDataFrame([("1", ["b1", "b1"], "b2"), ("2", ["t6", "t4"], "t4")], "calc_id string, line_item_ids array<string>, total_id string"), facts)
+    assert {r.calc_id: r.is_verified for r in foot.collect()} == {"1": True, "2": False}
