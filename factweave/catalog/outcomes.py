@@ -16,14 +16,14 @@ ORACLES: dict = {}
 
 
 def _findings(spark, folder):
-    return analysis.run_analysis(pairing._context(spark, folder), facts_of.stored(facts_of.metric_facts(spark, folder)), with_text=False)
+    return analysis.run_analysis(pairing._context(spark, folder), facts_of.stored(facts_of.metric_facts(spark, folder)))
 
 
 FINDINGS_SQL = f"""
 {views.CONTEXT_FACTS}, {views.exact_pairs(cross_document=True)}, {views.RULES},
 stated AS (SELECT DISTINCT entity_canon, attribute_canon, document_id, period FROM facts),
 kept AS (
-  SELECT r.*, abs(a_norm_value - b_norm_value) / greatest(abs(a_norm_value), abs(b_norm_value), CAST(1e-9 AS DOUBLE)) AS d FROM ruled r
+  SELECT r.*, coalesce(abs(a_norm_value - b_norm_value) / greatest(abs(a_norm_value), abs(b_norm_value), CAST(1e-9 AS DOUBLE)), 0) AS d FROM ruled r
   LEFT JOIN stated sb ON sb.entity_canon = r.entity_canon AND sb.attribute_canon = r.attribute_canon
         AND sb.document_id = r.b_document_id AND sb.period = r.a_period
   LEFT JOIN stated sa ON sa.entity_canon = r.entity_canon AND sa.attribute_canon = r.attribute_canon
@@ -155,7 +155,7 @@ def _queue(spark, folder):
 
 
 QUEUE_SQL = f"""
-{views.CONTEXT_FACTS}, {views.exact_pairs(same_period=True)}, {views.RULES},
+{views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
 zs AS (SELECT document_id, entity_canon, attribute_canon, avg(norm_value) AS m, stddev_samp(norm_value) AS sd, count(*) AS n FROM facts GROUP BY ALL),
 z AS (SELECT f.fact_id FROM facts f JOIN zs USING (document_id, entity_canon, attribute_canon) WHERE n >= 3 AND sd >= 1e-9 AND abs(norm_value - m) / sd > 3),
 sw AS (SELECT *, lag(norm_value) OVER (PARTITION BY document_id, entity_canon, attribute_canon ORDER BY period, coalesce(page_number, 0), fact_id) AS pv FROM facts),

@@ -11,7 +11,7 @@ from factweave.sources import facts as facts_of
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-SAME_PERIOD = ["entity_canon", "attribute_canon", "period"]
+PAIR_KEYS = ["entity_canon", "attribute_canon"]
 
 
 def _context(spark, folder):
@@ -63,12 +63,12 @@ WHERE NOT (a.period = 'FY1995' AND b.period = 'FY1995')
 def _context_relations(spark, folder, explain=False):
     facts = _context(spark, folder)
     compared = facts.select(*reconcile.COMPARED, "entity_canon", "attribute_canon")
-    return facts, reconcile.apply_rules(pairs.pair_up(compared, SAME_PERIOD), with_text=False, explain=explain)
+    return facts, reconcile.apply_rules(pairs.pair_up(compared, PAIR_KEYS), explain=explain)
 
 
 def reconcile_pairs(spark, folder):
     facts = _context(spark, folder).select(*reconcile.COMPARED, "entity_canon", "attribute_canon")
-    ruled = reconcile.apply_rules(pairs.exact_candidates(facts), with_text=False, explain=False)
+    ruled = reconcile.apply_rules(pairs.exact_candidates(facts), explain=False)
     return ruled.select(
         "entity_canon", "attribute_canon", "a_fact_id", "b_fact_id", "relation",
         F.array_join("rules", ",").alias("rules"), F.col("relation_confidence").alias("confidence"),
@@ -101,7 +101,7 @@ QUERIES["relation_ledger"] = relation_ledger
 ORACLES["relation_ledger"] = f"""
 WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
 claim AS (SELECT fact_id, min(fact_id) OVER (PARTITION BY entity_canon, attribute_canon, period, scope, currency, norm_unit, norm_value,
-          coalesce(nullif(confidence, 0), 1) < 0.5) AS claim_id FROM facts),
+          CASE WHEN norm_value IS NULL THEN lower(trim(raw_value)) END, coalesce(nullif(confidence, 0), 1) < 0.5) AS claim_id FROM facts),
 named AS (SELECT r.*, ka.claim_id AS ka, kb.claim_id AS kb FROM ruled r JOIN claim ka ON ka.fact_id = a_fact_id JOIN claim kb ON kb.fact_id = b_fact_id)
 SELECT entity_canon, attribute_canon, least(ka, kb) AS a_fact_id, greatest(ka, kb) AS b_fact_id, relation, count(*) AS n_pairs
 FROM named WHERE ca >= 0.5 AND cb >= 0.5 AND a_period = b_period GROUP BY ALL
@@ -140,7 +140,7 @@ def relations_expanded(spark, folder):
 
 QUERIES["relations_expanded"] = relations_expanded
 ORACLES["relations_expanded"] = f"""
-WITH {views.CONTEXT_FACTS}, {views.exact_pairs(same_period=True)}, {views.RULES},
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
 docs AS (SELECT DISTINCT o_orderpriority AS document_id, o_orderpriority || '.pdf' AS filename FROM orders)
 SELECT r.a_fact_id AS fact_a, r.b_fact_id AS fact_b, r.relation, r.confidence, fa.entity_canon AS a_entity,
        fa.attribute_canon AS a_attribute, fa.raw_value AS a_value, da.filename AS a_filename,
@@ -160,7 +160,7 @@ def fact_counterparts(spark, folder):
 
 QUERIES["fact_counterparts"] = fact_counterparts
 ORACLES["fact_counterparts"] = f"""
-WITH {views.CONTEXT_FACTS}, {views.exact_pairs(same_period=True)}, {views.RULES},
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
 ends AS (SELECT a_fact_id AS fact_id, b_fact_id AS counterpart_id, relation FROM ruled
          UNION ALL SELECT b_fact_id, a_fact_id, relation FROM ruled)
 SELECT e.fact_id, e.counterpart_id, e.relation, f.raw_value AS counterpart_value, f.period AS counterpart_period,
@@ -177,7 +177,7 @@ def relation_summaries(spark, folder):
 
 QUERIES["relation_summaries"] = relation_summaries
 ORACLES["relation_summaries"] = f"""
-WITH {views.CONTEXT_FACTS}, {views.exact_pairs(same_period=True)}, {views.RULES},
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
 ends AS (SELECT a_fact_id AS fact_id, relation FROM ruled UNION SELECT b_fact_id, relation FROM ruled)
 SELECT f.fact_id, f.document_id, coalesce(string_agg(e.relation, ',' ORDER BY e.relation), '') AS relations_summary
 FROM facts f LEFT JOIN ends e USING (fact_id) GROUP BY f.fact_id, f.document_id
@@ -191,7 +191,7 @@ def entity_attribute_matrix(spark, folder):
 
 QUERIES["entity_attribute_matrix"] = entity_attribute_matrix
 ORACLES["entity_attribute_matrix"] = f"""
-WITH {views.CONTEXT_FACTS}, {views.exact_pairs(same_period=True)}, {views.RULES},
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES},
 ends AS (SELECT a_fact_id AS fact_id, relation FROM ruled UNION SELECT b_fact_id, relation FROM ruled),
 ranked AS (SELECT fact_id, min(CASE relation WHEN 'contradicts' THEN 1 WHEN 'contextual_variance' THEN 2
                                 WHEN 'needs_review' THEN 3 ELSE 4 END) AS rk FROM ends GROUP BY fact_id)
@@ -203,7 +203,7 @@ FROM facts f LEFT JOIN ranked r USING (fact_id) GROUP BY f.entity_canon, f.attri
 
 
 def tieout_findings(spark, folder):
-    found = tieouts.cross_document_findings(_context(spark, folder), with_text=False)
+    found = tieouts.cross_document_findings(_context(spark, folder))
     return found.select(
         "case_id", "category", "severity",
         F.col("fact_ids")[0].alias("fact_a"), F.col("fact_ids")[1].alias("fact_b"),
@@ -224,7 +224,7 @@ kept AS (
         AND sa.document_id = r.a_document_id AND sa.period = r.b_period
   WHERE r.relation <> 'corroborates' AND (r.a_period = r.b_period OR (sa.period IS NULL AND sb.period IS NULL))
 ),
-deltas AS (SELECT *, abs(a_norm_value - b_norm_value) / greatest(abs(a_norm_value), abs(b_norm_value), CAST(1e-9 AS DOUBLE)) AS d FROM kept)
+deltas AS (SELECT *, coalesce(abs(a_norm_value - b_norm_value) / greatest(abs(a_norm_value), abs(b_norm_value), CAST(1e-9 AS DOUBLE)), 0) AS d FROM kept)
 SELECT sha256(entity_canon || '|' || attribute_canon) AS case_id,
        CASE WHEN relation = 'contextual_variance' THEN 'contextual_variance' ELSE 'contradiction' END AS category,
        CASE WHEN relation = 'contextual_variance' THEN 'info' WHEN relation = 'needs_review' THEN 'low'

@@ -249,13 +249,13 @@ def stream_reconcile(spark, folder):
     arriving = session.new_path(spark, "arriving-facts")
     facts.repartition(3, "document_id", "fact_id").write.parquet(arriving)
     stream = jobs.file_stream(spark, arriving, facts.schema, files_per_batch=1)
-    rows = jobs.incremental_reconciliation(stream, ["entity_canon", "attribute_canon", "period"], with_text=False)
+    rows = jobs.incremental_reconciliation(stream, ["entity_canon", "attribute_canon"])
     return rows.select("fact_a", "fact_b", "relation", F.array_join("rules_applied", ",").alias("rules"))
 
 
 QUERIES["stream_reconcile"] = stream_reconcile
 ORACLES["stream_reconcile"] = f"""
-WITH {views.CONTEXT_FACTS}, {views.exact_pairs(same_period=True)}, {views.RULES}
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES}
 SELECT a_fact_id AS fact_a, b_fact_id AS fact_b, relation, rules FROM ruled
 """
 

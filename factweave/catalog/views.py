@@ -50,6 +50,9 @@ facts AS (
     SELECT *, 'order_count', CAST(n AS VARCHAR),
            CASE WHEN p = 5 THEN CAST(least(n, 100) AS DOUBLE) / CAST(100.0 AS DOUBLE) ELSE CAST(n AS DOUBLE) END,
            CASE WHEN p = 5 THEN 'count' ELSE 'pct' END, NULL FROM ctx
+    UNION ALL
+    SELECT *, 'status_note', ['resigned', 'continues', 'Active', 'office 560001', 'hq at 560001 west'][CAST((c_custkey + p + y) % 5 + 1 AS INTEGER)],
+           CAST(NULL AS DOUBLE), 'text', NULL FROM ctx
   ) s
 )"""
 
@@ -115,7 +118,7 @@ facts AS (
   FROM lineitem
 )"""
 
-# The pair rules R1 to R4 over rows with columns a_* and b_*; needs a CTE `pairs`.
+# The pair rules R1 to R5 over rows with columns a_* and b_*; needs a CTE `pairs`.
 RULES = """
 fx AS (SELECT * FROM (VALUES ('USD', CAST(1.0 AS DOUBLE)), ('INR', CAST(0.012 AS DOUBLE)), ('EUR', CAST(1.08 AS DOUBLE)),
         ('GBP', CAST(1.27 AS DOUBLE)), ('JPY', CAST(0.0067 AS DOUBLE)), ('CNY', CAST(0.14 AS DOUBLE))) t(code, rate)),
@@ -152,11 +155,20 @@ vals AS (
          ELSE b_norm_value END AS vb
   FROM flags
 ),
+said AS (
+  -- texts of the view are equal, opposed, of one postal code, or far apart; no similarity in between
+  SELECT *, lower(trim(a_raw_value)) AS ta, lower(trim(b_raw_value)) AS tb FROM vals
+),
+talk AS (
+  SELECT *, (ta = 'resigned' AND tb IN ('continues', 'active')) OR (tb = 'resigned' AND ta IN ('continues', 'active')) AS opposed,
+    ta = tb OR (contains(ta, '560001') AND contains(tb, '560001')) AS alike
+  FROM said
+),
 ruled AS (
   SELECT *,
     CASE WHEN ca < 0.5 OR cb < 0.5 THEN 'needs_review'
          WHEN period_diff OR scope_diff OR cur_bad OR unit_diff THEN 'contextual_variance'
-         WHEN NOT two_values THEN NULL
+         WHEN NOT two_values THEN CASE WHEN opposed THEN 'contradicts' WHEN alike THEN 'corroborates' ELSE 'needs_review' END
          WHEN abs(va - vb) / greatest(abs(va), abs(vb), CAST(1e-9 AS DOUBLE)) <= 0.01 THEN 'corroborates'
          ELSE 'contradicts' END AS relation,
     CASE WHEN ca < 0.5 OR cb < 0.5 THEN 'R1:low_confidence' ELSE
@@ -169,17 +181,18 @@ ruled AS (
         CASE WHEN unit_diff THEN 'R2:context_diff:unit' END,
         CASE WHEN NOT (period_diff OR scope_diff OR cur_bad OR unit_diff) AND two_values THEN
           CASE WHEN abs(va - vb) / greatest(abs(va), abs(vb), CAST(1e-9 AS DOUBLE)) <= 0.01
-               THEN 'R4:tolerance_match' ELSE 'R4:value_mismatch' END END) END AS rules,
+               THEN 'R4:tolerance_match' ELSE 'R4:value_mismatch' END END,
+        CASE WHEN NOT (period_diff OR scope_diff OR cur_bad OR unit_diff) AND NOT two_values THEN
+          CASE WHEN opposed THEN 'R5:verb_opposition:' || ta || '_vs_' || tb WHEN alike THEN 'R5:string_match' ELSE 'R5:unmatched_text' END END) END AS rules,
     round(least(ca, cb), 2) AS confidence
-  FROM vals
+  FROM talk
 )"""
 
 
-def exact_pairs(same_period: bool = False, cross_document: bool = False) -> str:
+def exact_pairs(cross_document: bool = False) -> str:
     """CTE `pairs`: every unordered pair of facts with the same entity and attribute."""
-    more = " AND a.period = b.period" if same_period else ""
-    more += " AND a.document_id <> b.document_id" if cross_document else ""
-    columns = ["fact_id", "document_id", "norm_value", "norm_unit", "currency", "period", "scope", "confidence"]
+    more = " AND a.document_id <> b.document_id" if cross_document else ""
+    columns = ["fact_id", "document_id", "norm_value", "norm_unit", "currency", "period", "scope", "confidence", "raw_value"]
     both = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in columns)
     return f"""
 pairs AS (

@@ -9,13 +9,18 @@ from factweave.functions.numbers import compact, falsy_confidence, relative_delt
 from factweave.functions.similarity import token_sort_ratio
 from factweave.operators.pairs import pair_across, pair_up
 
-COMPARED = ["fact_id", "document_id", "norm_value", "norm_unit", "currency", "period", "scope", "confidence"]
+COMPARED = ["fact_id", "document_id", "norm_value", "norm_unit", "currency", "period", "scope", "confidence", "raw_value"]
 
 
 def clean(column: Column) -> Column:
     return strip(F.coalesce(column, F.lit("")))
 
 
+def said(raw_value: Column, quote: Column) -> Column:
+    """The text of a claim as R5 compares it."""
+    return F.lower(strip(F.coalesce(F.nullif(raw_value, F.lit("")), quote, F.lit(""))))
+
+
 def _differ(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (a != b)
 
@@ -104,17 +109,17 @@ def apply_rules(pairs: DataFrame, with_text: bool = True, explain: bool = True)
     match = c("_delta") <= V.TOLERANCE
     if with_text:
         text = ~c("_low") & ~c("_context") & ~c("_both")
-        said = {s: F.lower(strip(F.coalesce(F.nullif(col(f"{s}_raw_value"), F.lit("")), col(f"{s}_quote"), F.lit(""))))
-                for s in "ab"}
-        p = p.withColumns({"_ta": F.when(text, said["a"]), "_tb": F.when(text, said["b"])})
-        p = p.withColumn("_sim", token_sort_ratio("_ta", "_tb"))
+        p = p.withColumns({f"_t{x}": F.when(text, said(col(f"{x}_raw_value"), col(f"{x}_quote"))) for x in "ab"})
         postal = [F.regexp_extract_all(c(t), F.lit(r"(?U)\b\d{5,6}\b"), F.lit(0)) for t in ("_ta", "_tb")]
-        p = p.withColumns(
-            {
-                "_opp": _opposition(c("_ta"), c("_tb")),
-                "_same": (c("_ta") == c("_tb")) | (c("_sim") > V.TEXT_MATCH_RATIO) | F.arrays_overlap(*postal),
-            }
-        )
+        p = p.withColumns({"_opp": _opposition(c("_ta"), c("_tb")), "_equal": c("_ta") == c("_tb"), "_place": F.coalesce(F.arrays_overlap(*postal), F.lit(False))})
+        # only pairs that nothing else settles, and whose lengths allow a match, are scored
+        sizes = [F.length("_ta"), F.length("_tb")]
+        asked = c("_opp").isNull() & ~c("_equal") & (F.lit(200.0) * F.least(*sizes) > V.TEXT_MATCH_RATIO * (sizes[0] + sizes[1]))
+        asked = asked if explain else asked & ~c("_place")
+        p = p.withColumn("_scored", token_sort_ratio(F.when(asked, c("_ta")), F.when(asked, c("_tb"))))
+        p = p.withColumns({
+            "_sim": F.when(c("_equal"), 100.0).otherwise(c("_scored")),
+            "_same": F.when(c("_ta").isNotNull(), c("_equal") | c("_place") | F.coalesce(c("_scored") > V.TEXT_MATCH_RATIO, F.lit(False)))})
     else:
         p = p.withColumns({"_opp": F.lit(None).cast("string"), "_same": F.lit(None).cast("boolean")})
         if explain:
@@ -212,11 +217,16 @@ def claims(facts: DataFrame, more_keys: list[str] | None = None) -> DataFrame:
     """Facts that say the same thing under the same entity and attribute, collapsed.
 
     n facts become one row with their number, so a value copied a billion times costs one row
-    after the map-side part of the aggregation.
+    after the map-side part of the aggregation. Where a fact of the group has no number, texts
+    are compared (R5), so there the text is part of what a fact says.
     """
-    keys = ["entity_canon", "attribute_canon", *(more_keys or []), "period_key", "scope", "currency", "norm_unit", "norm_value", "low"]
+    by = ["entity_canon", "attribute_canon"]
+    keys = [*by, *(more_keys or []), "period_key", "scope", "currency", "norm_unit", "norm_value", "low", "raw_value"]
+    column = lambda name: F.col(name) if name in facts.columns else F.lit(None).cast("string")
+    wordy = facts.filter(F.col("norm_value").isNull()).select(*by).distinct().withColumn("_wordy", F.lit(True))
     return (
-        facts.withColumns(
+        facts.withColumn("_said", said(column("raw_value"), column("quote"))).join(wordy, by, "left").drop("raw_value")
+        .withColumn("raw_value", F.when(F.col("_wordy"), F.col("_said"))).withColumns(
             {
                 "period_key": F.upper(clean(F.col("period"))),
                 "low": falsy_confidence(F.col("confidence")) < V.LOW_CONFIDENCE,
@@ -228,7 +238,7 @@ def claims(facts: DataFrame, more_keys: list[str] | None = None) -> DataFrame:
 
 
 def relation_ledger(facts: DataFrame) -> DataFrame:
-    """All fact pairs of numeric facts, accounted for without listing them.
+    """All fact pairs, accounted for without listing them.
 
     Rows: entity_canon, attribute_canon, a_fact_id, b_fact_id, relation, rules, n_pairs.
     Facts that say the same are one claim, named by its smallest fact id; claims that agree on
@@ -266,7 +276,7 @@ def relation_ledger(facts: DataFrame) -> DataFrame:
     weight = F.when(F.col("a_fact_id") == F.col("b_fact_id"), choose2(F.col("a_members"))).otherwise(
         F.col("a_members") * F.col("b_members")
     )
-    compared = apply_rules(met, with_text=False, explain=False).select(
+    compared = apply_rules(met, explain=False).select(
         *by, "a_fact_id", "b_fact_id", "relation", "rules", weight.alias("n_pairs"))
     return arithmetic.unionByName(compared).filter(F.col("n_pairs") > 0).withColumn("n_pairs", F.col("n_pairs").cast("long"))
 

@@ -91,7 +91,8 @@ def order_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Order facts with varying currency, unit, scope and confidence, to exercise every rule."""
+    """Order facts with varying currency, unit, scope and confidence, and notes without a number,
+    to exercise every rule."""
     g = _order_groups(spark, folder)
     p, ck, y, n = F.col("p"), F.col("c_custkey"), F.col("y"), F.col("n")
     currency = F.when(p == 3, "INR").when((p == 4) & (ck % 7 == 0), "XXX").otherwise("USD")
@@ -99,6 +100,7 @@ def context_facts(spark: SparkSession, folder: str) -> DataFrame:
     drift = 1.0 + ((ck + y + p) % 7) / 200.0
     balance = F.col("c_acctbal") * drift
     balance = F.when(p == 3, balance / 0.012).otherwise(balance)
+    notes = F.array(*[F.lit(t) for t in ("resigned", "continues", "Active", "office 560001", "hq at 560001 west")])
     count = F.when(p == 5, F.least(n, F.lit(100)) / 100.0).otherwise(n.cast("double"))
     return _spread(
         g,
@@ -106,6 +108,7 @@ def context_facts(spark: SparkSession, folder: str) -> DataFrame:
             _fact("total_revenue", F.col("total"), revenue, F.lit("currency"), currency),
             _fact("account_balance", ck, balance, F.lit("currency"), currency),
             _fact("order_count", n, count, F.when(p == 5, "count").otherwise("pct"), F.lit(None)),
+            _fact("status_note", F.element_at(notes, ((ck + p + y) % 5 + 1).cast("int")), F.lit(None), F.lit("text"), F.lit(None)),
         ],
         F.when(ck % 5 == 0, F.when(p == 2, "standalone").otherwise("consolidated")),
         F.when((p == 1) & ((ck + y) % 11 == 0), 0.4).when((ck + y) % 13 == 0, 0.0).otherwise(0.9),
