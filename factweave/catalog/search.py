@@ -234,9 +234,18 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4
 """
 
 
+def _arriving(rows, order, parts):
+    """A stream that delivers a table in batches, `parts` of them, by the order of one column."""
+    spark, path = rows.sparkSession, session.new_path(rows.sparkSession, "arriving")
+    cuts = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
+    place = F.expr("0") + sum((F.col(order) > c).cast("int") for c in cuts)
+    for i in range(parts):
+        rows.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, rows.schema, files_per_batch=1)
+
+
 def stream_dedup(spark, folder):
-    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    stream = jobs.file_stream(spark, folder, schema, "documents.parquet")
+    stream = _arriving(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 3)
     return jobs.deduplicated_intake(stream, "doc_id", "text")
 
 
@@ -261,9 +270,9 @@ SELECT a_fact_id AS fact_a, b_fact_id AS fact_b, relation, rules FROM ruled
 
 
 def stream_admission(spark, folder):
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = jobs.file_stream(spark, folder, schema, "events.parquet")
-    keyed = events.select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("at"))
+    events = read_table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").alias("at"), F.unix_micros("ts").alias("micros"))
+    keyed = _arriving(events, "micros", 3).drop("micros")
     rows = jobs.run_to_table(jobs.admission(keyed, limit=3, window_seconds=86400), "admission")
     return rows.select("key", "event_id", "admitted")
 

@@ -198,8 +198,8 @@ def _explanation() -> Column:
     )
 
 
-def as_relations(ruled: DataFrame) -> DataFrame:
-    """Classified pairs as relation rows with a repeatable id."""
+def as_relations(ruled: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Classified pairs as relation rows with a repeatable id; `more` columns are carried."""
     return ruled.select(
         F.sha2(F.concat_ws("|", F.least("a_fact_id", "b_fact_id"), F.greatest("a_fact_id", "b_fact_id")), 256).alias("relation_id"),
         F.col("a_fact_id").alias("fact_a"),
@@ -208,6 +208,7 @@ def as_relations(ruled: DataFrame) -> DataFrame:
         *(["explanation"] if "explanation" in ruled.columns else []),
         F.col("rules").alias("rules_applied"),
         F.col("relation_confidence").alias("confidence"),
+        *(more or []),
     )
 
 
