@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.catalog import views
+from factweave.functions.numbers import compact
 from factweave.operators import anomalies, calculations, disclosures
 from factweave.operators.ordered import previous_row
 from factweave.sources import facts as facts_of
+from factweave.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -335,3 +337,32 @@ FROM growths
 UNION ALL
 SELECT calc_id, 'cross_foot', CAST(computed AS DOUBLE) / 100, true FROM foots
 """
+
+
+def calculations_by_fact(spark, folder):
+    """The calculations in which the fact of the smallest id takes part."""
+    facts = facts_of.status_facts(spark, folder)
+    stored = calculations.calculate_ratio(_ratio_requests(facts), facts)
+    first = facts.filter(F.col("attribute_canon") == "net_income").agg(F.min("fact_id")).first()[0]
+    return calculations.calculations_of_fact(stored, first).select("calc_id", "formula")
+
+
+QUERIES["calculations_by_fact"] = calculations_by_fact
+ORACLES["calculations_by_fact"] = f"""
+WITH {views.STATUS_FACTS}, {RATIO_SQL}
+SELECT calc_id, CASE formula_name WHEN 'net_profit_margin' THEN 'net_income / total_revenue' WHEN 'current_ratio' THEN 'current_assets / current_liabilities'
+       WHEN 'debt_to_equity' THEN 'total_debt / total_equity' ELSE 'net_income / total_assets' END AS formula
+FROM quotients WHERE (SELECT min(fact_id) FROM facts WHERE attribute_canon = 'net_income') IN (nf, df)
+"""
+
+
+def compact_numbers(spark, folder):
+    o = read_table(spark, folder, "orders")
+    value = F.sqrt("o_totalprice") / F.element_at(F.array(F.lit(1.0), F.lit(1e9), F.lit(1e-6)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return o.select("o_orderkey", compact(value).alias("shown"))
+
+
+QUERIES["compact_numbers"] = compact_numbers
+ORACLES["compact_numbers"] = """
+SELECT o_orderkey, printf('%g', sqrt(o_totalprice) / [CAST(1.0 AS DOUBLE), CAST(1e9 AS DOUBLE), CAST(1e-6 AS DOUBLE)][CAST(o_orderkey % 3 + 1 AS INTEGER)]) AS shown FROM orders
+"""

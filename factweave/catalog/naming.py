@@ -142,6 +142,77 @@ SELECT CAST(o_orderkey AS VARCHAR) AS fact_id, 'Customer ' || o_custkey AS entit
 """
 
 
+_LETTERS = ("0123456789", "ghijklmnop")
+
+
+def _maker(number, salt):
+    """A name of twelve letters that is unlike the others."""
+    return F.translate(F.substring(F.md5(F.concat(F.lit(salt), number.cast("string"))), 1, 12), *_LETTERS)
+
+
+def _normalization(spark, folder):
+    supplier, e = read_table(spark, folder, "supplier"), read_table(spark, folder, "embeddings")
+    n_suppliers, n_vectors = supplier.count(), e.count()
+    k = F.col("p_partkey")
+    s = k % n_suppliers
+    stated = _pick(k, F.concat(F.lit("maker "), _maker(s, "s")), _says("BRAND ", s), F.expr("left(concat('Maker ', w), 17)"),
+                   F.concat(F.lit("Newco "), _maker(k % 50, "n")))
+    extracted = read_table(spark, folder, "part").withColumn("w", _maker(s, "s")).select(
+        k.alias("fact_id"), F.concat(stated, F.when(k % 3 == 0, " Ltd.").otherwise("")).alias("entity"), _says("Measure ", k % n_vectors).alias("attribute"),
+        F.lit("5 million").alias("raw_value"), F.lit(None).cast("double").alias("value_number"), F.lit("USD").alias("currency"), F.lit("count").alias("unit"),
+        F.lit("FY 2024").alias("period"))
+    makers = supplier.select(F.col("s_suppkey"), F.concat(F.lit("Maker "), F.initcap(_maker(F.col("s_suppkey"), "s"))).alias("name"))
+    aliases = makers.select(F.concat(F.lit("brand "), F.col("s_suppkey").cast("string")).alias("alias"), F.col("name").alias("canonical"))
+    first, last = (e.groupBy("label").agg(f("embedding", "vec_id").alias("embedding")) for f in (F.min_by, F.max_by))
+    named = lambda df, word: df.select(F.concat(F.lit(word), F.col("label").cast("string")).alias("name"), "embedding")
+    vectors = e.select(F.concat(F.lit("measure "), F.col("vec_id").cast("string")).alias("attribute_canon"), "embedding")
+    return ingest.normalization_stage(extracted, aliases, makers.select("name"), vectors, named(first, "metric-"), named(last, "legacy-"), 0.25)
+
+
+def normalization_stage(spark, folder):
+    return _normalization(spark, folder)[0].select("fact_id", "entity_canon", "attribute_canon", "norm_value", "period")
+
+
+QUERIES["normalization_stage"] = normalization_stage
+_WORD = "translate(substr(md5('{salt}' || {number}), 1, 12), '0123456789', 'ghijklmnop')"
+_COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))"
+NORMALIZATION_SQL = f"""
+p AS (SELECT p_partkey AS k, p_partkey % (SELECT count(*) FROM supplier) AS s, p_partkey % (SELECT count(*) FROM embeddings) AS v FROM part),
+w AS (SELECT *, {_WORD.format(salt='s', number='s')} AS m, {_WORD.format(salt='n', number='(k % 50)')} AS n FROM p),
+named AS (SELECT k, v, CASE k % 4 WHEN 3 THEN 'Newco ' || upper(n[1]) || n[2:] ELSE 'Maker ' || upper(m[1]) || m[2:] END AS entity_canon,
+          CASE k % 4 WHEN 1 THEN NULL WHEN 2 THEN 'maker ' || m[:11] WHEN 3 THEN 'newco ' || n ELSE 'maker ' || m END AS alias FROM w)"""
+ORACLES["normalization_stage"] = f"""
+WITH {NORMALIZATION_SQL},
+ex AS (SELECT label, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
+la AS (SELECT label, arg_max(embedding, vec_id) AS q FROM embeddings GROUP BY label),
+bm AS (SELECT vec_id, 'metric-' || ex.label AS name, {_COS} AS sim FROM embeddings e CROSS JOIN ex WHERE sim >= 0.25 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, name) = 1),
+bl AS (SELECT vec_id, 'legacy-' || la.label AS name, {_COS} AS sim FROM embeddings e CROSS JOIN la WHERE sim >= 0.25 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, name) = 1)
+SELECT k AS fact_id, entity_canon, coalesce(bm.name, bl.name, 'measure ' || v) AS attribute_canon, CAST(5e6 AS DOUBLE) AS norm_value, 'FY2024' AS period
+FROM named LEFT JOIN bm ON bm.vec_id = v LEFT JOIN bl ON bl.vec_id = v
+"""
+
+
+def normalization_aliases(spark, folder):
+    return _normalization(spark, folder)[1]
+
+
+QUERIES["normalization_aliases"] = normalization_aliases
+ORACLES["normalization_aliases"] = f"""
+WITH {NORMALIZATION_SQL}
+SELECT DISTINCT alias, entity_canon AS canonical FROM named WHERE alias IS NOT NULL
+"""
+
+
+def known_canonicals(spark, folder):
+    supplier = read_table(spark, folder, "supplier")
+    entities_table = supplier.select((F.col("s_nationkey") % 7).cast("string").alias("canonical_name"))
+    return entities.known_canonicals(entities_table, supplier.select(F.col("s_name").alias("canonical")))
+
+
+QUERIES["known_canonicals"] = known_canonicals
+ORACLES["known_canonicals"] = "SELECT DISTINCT CAST(s_nationkey % 7 AS VARCHAR) AS name FROM supplier"
+
+
 def _misspelled(spark, folder):
     """Part names with their brand, some with a letter dropped or doubled, and words swapped."""
     p = read_table(spark, folder, "part")

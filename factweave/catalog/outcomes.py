@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factweave import session
 from factweave.catalog import pairing, views
 from factweave.operators import anomalies, findings, lineage, review
+from factweave.operators.ordered import positions
 from factweave.plans import analysis
 from factweave.sources import facts as facts_of, sinks
 from factweave.sources.tables import read_table
@@ -129,6 +130,17 @@ FROM findings GROUP BY ROLLUP (category)
 """
 
 
+def counts_by_category(spark, folder):
+    return findings.counts_by_category(_findings(spark, folder))
+
+
+QUERIES["counts_by_category"] = counts_by_category
+ORACLES["counts_by_category"] = f"""
+WITH {FINDINGS_SQL}
+SELECT category, count(*) AS n_findings FROM findings GROUP BY category
+"""
+
+
 def finding_drilldown(spark, folder):
     facts = facts_of.context_facts(spark, folder)
     found = _findings(spark, folder).filter(F.col("severity").isin("critical", "medium"))
@@ -339,6 +351,55 @@ FROM audit a JOIN events e ON e.event_id = a.audit_id ORDER BY e.ts DESC, a.audi
 """
 
 
+def audit_log(spark, folder):
+    """Two appends to the log, read back."""
+    path = session.new_path(spark, "audit-log")
+    o = read_table(spark, folder, "orders")
+    for part in (0, 1):
+        rows = sinks.audit_rows(o.filter(F.col("o_orderkey") % 2 == part), "order.loaded", F.struct(F.col("o_orderkey").alias("order")), F.struct("o_orderstatus"))
+        sinks.append_audit(rows, path)
+    return spark.read.parquet(path).select("actor", "action", "target", "meta")
+
+
+QUERIES["audit_log"] = audit_log
+ORACLES["audit_log"] = """
+SELECT 'system' AS actor, 'order.loaded' AS action, '{"order":' || o_orderkey || '}' AS target, '{"o_orderstatus":"' || o_orderstatus || '"}' AS meta FROM orders
+"""
+
+
+def document_listing(spark, folder):
+    """Every document's facts, numbered in the order in which it lists them."""
+    facts = facts_of.order_facts(spark, folder).select("document_id", "page_number", "fact_id", "norm_value").withColumn("page", F.coalesce("page_number", F.lit(0)))
+    rows = positions(facts, ["document_id"], ["page"], ["page", "fact_id"])
+    return rows.select("document_id", "position", "fact_id", "norm_value")
+
+
+QUERIES["document_listing"] = document_listing
+ORACLES["document_listing"] = f"""
+WITH {views.ORDER_FACTS}
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY coalesce(page_number, 0), fact_id) AS INTEGER) AS position, fact_id, norm_value FROM facts
+"""
+
+
+def reconcile_run(spark, folder):
+    """One document against all facts: what is related already is left out."""
+    facts = pairing._context(spark, folder).select(*pairing.reconcile.COMPARED, "entity_canon", "attribute_canon")
+    known = pairing.pairs.pair_up(facts.filter(F.col("period") == "FY1995"), pairing.PAIR_KEYS).select(
+        F.col("a_fact_id").alias("fact_a"), F.col("b_fact_id").alias("fact_b"))
+    rows = analysis.reconcile_document(facts, known, "2-HIGH")
+    audit = analysis.reconcile_audit(rows)
+    return rows.select("relation_id", "fact_a", "fact_b", "relation", F.array_join("rules_applied", ",").alias("rules")).join(
+        audit.select(F.get_json_object("target", "$.relation_id").alias("relation_id"), "action"), "relation_id").drop("relation_id")
+
+
+QUERIES["reconcile_run"] = reconcile_run
+ORACLES["reconcile_run"] = f"""
+WITH {views.CONTEXT_FACTS}, {views.exact_pairs()}, {views.RULES}
+SELECT a_fact_id AS fact_a, b_fact_id AS fact_b, relation, rules, 'reconcile' AS action FROM ruled
+WHERE (a_document_id = '2-HIGH' OR b_document_id = '2-HIGH') AND NOT (a_period = 'FY1995' AND b_period = 'FY1995')
+"""
+
+
 def _dimension(spark, folder):
     n = read_table(spark, folder, "nation")
     stored = n.select(
