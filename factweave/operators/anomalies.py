@@ -89,10 +89,23 @@ def period_swings(facts: DataFrame, swing_threshold: float = V.SWING_FLAG) -> Da
     )
 
 
+#: a shelf is a common start of document ids; starts are lengthened until there are so many shelves
+SHELVES, START_LENGTHS = 256, (2, 4, 8, 12, 16, 24, 32, 64)
+
+
+def _with_shelf(facts: DataFrame) -> DataFrame:
+    """Adds `_shelf`: a start of document_id, as long as the ids at hand need to differ. Starts keep
+    the order of the ids, so shelves can be segments of it."""
+    counts = facts.agg(*[F.approx_count_distinct(F.substring("document_id", 1, n)) for n in START_LENGTHS]).first()
+    length = next((n for n, found in zip(START_LENGTHS, counts) if found >= SHELVES), None)
+    # fewer documents than shelves: the id itself
+    return facts.withColumn("_shelf", F.col("document_id") if length is None else F.substring("document_id", 1, length))
+
+
 def period_changes(facts: DataFrame, swing_threshold: float = V.SWING_FLAG) -> DataFrame:
     """Signed changes of more than half between consecutive facts of a metric in all documents."""
     known = facts.dropna(subset=["entity_canon", "attribute_canon"])
-    known = known.withColumn("_shelf", F.substring("document_id", 1, 2))
+    known = _with_shelf(known)
     rows = _with_previous(
         known, ["entity_canon", "attribute_canon"], ["period", "_shelf", "document_id"], ["period", "document_id", "_page", "fact_id"]
     ).drop("_shelf")

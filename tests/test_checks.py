@@ -181,3 +181,13 @@ def test_calculations_take_any_scale(spark, make_facts):
     assert {r.calc_id: float(r.result) for r in growth.collect()} == {"1": 50.0, "2": 100.0}
     foot = calculations.cross_foot(spark.createDataFrame([("1", ["b1", "b1"], "b2"), ("2", ["t6", "t4"], "t4")], "calc_id string, line_item_ids array<string>, total_id string"), facts)
     assert {r.calc_id: r.is_verified for r in foot.collect()} == {"1": True, "2": False}
+
+
+def test_period_changes_with_one_common_start_of_ids(make_facts):
+    names = [f"statement-of-the-year-{i:03d}" for i in range(300)]
+    facts = make_facts(*[{"document_id": d, "norm_value": float(2 ** (i % 3) * 100), "period": f"FY{2000 + i % 4}"} for i, d in enumerate(names)])
+    shelves = anomalies._with_shelf(facts).select("_shelf").distinct().count()
+    assert shelves > 100
+    order = sorted((f"FY{2000 + i % 4}", d, float(2 ** (i % 3) * 100)) for i, d in enumerate(names))
+    want = sum(abs(b[2] - a[2]) / a[2] > 0.5 for a, b in zip(order, order[1:]))
+    assert anomalies.period_changes(facts).count() == want > 50
