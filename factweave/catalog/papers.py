@@ -109,7 +109,7 @@ FROM orders o JOIN sealed s ON s.chunk_id = (o_custkey % 1000) || '-' || (o_orde
 
 
 def chunk_priority(spark, folder):
-    rows = chunks.prioritised(_line_chunks(spark, folder), narrative=5)
+    rows = chunks.prioritised(_line_chunks(spark, folder))
     return rows.select("document_id", "chunk_id", "priority", "position")
 
 
@@ -117,12 +117,12 @@ QUERIES["chunk_priority"] = chunk_priority
 PRIORITY_SQL = f"""{LINES_SQL},
 c AS (SELECT chunk_id, document_id, line_no, chunk_type, text, CASE WHEN regexp_matches(text, '\\p{{Nd}}') THEN 1 ELSE 2 END AS priority FROM chunk),
 n AS (SELECT *, row_number() OVER (PARTITION BY document_id, priority ORDER BY line_no) AS rn FROM c),
-prio AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY priority, line_no) AS position FROM n WHERE priority < 2 OR rn <= 5)"""
+prio AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY priority, line_no) AS position FROM n WHERE priority < 2 OR rn <= 50)"""
 ORACLES["chunk_priority"] = f"WITH {PRIORITY_SQL} SELECT document_id, chunk_id, priority, CAST(position AS INTEGER) AS position FROM prio"
 
 
 def chunk_windows(spark, folder):
-    rows = chunks.windows(chunks.prioritised(_line_chunks(spark, folder), narrative=5))
+    rows = chunks.windows(chunks.prioritised(_line_chunks(spark, folder)))
     return rows.select("document_id", "window", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.sha2("prompt", 256).alias("prompt_sha"))
 
 
@@ -137,7 +137,7 @@ FROM prio GROUP BY document_id, (position - 1) // 2
 
 
 def extraction_routing(spark, folder):
-    w = chunks.windows(chunks.prioritised(_line_chunks(spark, folder), narrative=5))
+    w = chunks.windows(chunks.prioritised(_line_chunks(spark, folder)))
     o = read_table(spark, folder, "orders")
     returned = o.select(
         F.col("o_orderkey").alias("fact_id"), (F.col("o_custkey") % 1000).alias("document_id"), (F.col("o_orderkey") % 4).cast("int").alias("window"),
