@@ -34,7 +34,6 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from factweave.llm.common import steps
-from factweave.session import write_through
 
 WIDTH = 13
 #: pairs are merged in each round; runs are named before the rounds in RUN_ROUNDS
@@ -192,8 +191,8 @@ def shared_symbols(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, content, places): for each row the first words of its windows that also start in a
-    row with a smaller key. `docs` has key, content (a hash of the text) and text."""
+    """(key, removed): for the texts of a key, by their hash, the first words of the windows that
+    also start in a row with a smaller key. `docs` has key, content (the hash) and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, 2):
             keys, contents = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -212,30 +211,34 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             group = np.cumsum(_firsts(symbol, words)) - 1
             least = key[_firsts(symbol, words)][group] if len(key) else key
             later = key > least
-            # a row for each document and window that only other steps can settle
-            heads = _firsts(symbol, words, doc) & ~later
-            rows = np.flatnonzero(heads)
-            owners = np.cumsum(heads)[~later] - 1
-            cut = np.searchsorted(owners, np.arange(len(rows) + 1))
+            # one row for each document and symbol whose windows only other steps can settle
+            asked = np.flatnonzero(~later)
+            asked = asked[np.lexsort((place[asked], doc[asked], symbol[asked]))]
+            rows = np.flatnonzero(_firsts(symbol[asked], doc[asked]))
             # one row for each document with what is settled here
-            by_doc = np.argsort(doc[later], kind="stable")
-            done, done_places = doc[later][by_doc], place[later][by_doc]
-            done_at = np.flatnonzero(_firsts(done)) if len(done) else np.zeros(0, np.int64)
-            owner = np.concatenate((doc[rows], done[done_at])) if len(rows) + len(done_at) else np.zeros(0, np.int64)
-            apart = _join(keys[done[done_at]].astype(np.uint64), contents[done[done_at]].view(np.uint64))
-            offsets = np.concatenate((cut, cut[-1] + np.append(done_at, len(done))[1:]))
+            done = np.flatnonzero(later)
+            done = done[np.argsort(doc[done], kind="stable")]
+            done_at = np.flatnonzero(_firsts(doc[done]))
+            owner = np.concatenate((doc[asked[rows]], doc[done[done_at]]))
+            apart = _join(keys[doc[done[done_at]]].astype(np.uint64), contents[doc[done[done_at]]].view(np.uint64))
+            offsets = np.concatenate((rows, len(asked) + done_at, [len(asked) + len(done)])).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((symbol[rows], apart)).view(np.int64)), pa.array(np.concatenate((words[rows], apart)).view(np.int64)),
-                 pa.array(keys[owner]), pa.array(contents[owner]),
-                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate((place[~later], done_places)).astype(np.int32))),
-                 pa.array(np.concatenate((np.zeros(len(rows), bool), np.ones(len(done_at), bool))))],
-                names=["symbol", "words", "key", "content", "places", "settled"])
+                [pa.array(np.concatenate((symbol[asked[rows]], apart)).view(np.int64)), pa.array(keys[owner]), pa.array(contents[owner]),
+                 pa.ListArray.from_arrays(pa.array(np.minimum(offsets, len(asked))), pa.array(words[asked].view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate((place[asked], place[done])).astype(np.int32))),
+                 pa.array(np.arange(len(owner)) >= len(rows))],
+                names=["symbol", "key", "content", "words", "places", "settled"])
 
     candidates = docs.join(shared_symbols(docs, width), "key").select("key", "content", "text", "symbols").mapInArrow(
-        run, "symbol bigint, words bigint, key bigint, content bigint, places array<int>, settled boolean")
+        run, "symbol bigint, key bigint, content bigint, words array<bigint>, places array<int>, settled boolean")
+    # dealt by symbol, a row may carry all its windows; they are laid out where they meet
+    one = F.transform(F.arrays_zip("words", "places"), lambda w: F.struct(w["words"].alias("words"), F.array(w["places"]).alias("places")))
+    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("words"), F.col("places").alias("places")))
+    windows = candidates.repartition("symbol").select("symbol", "key", "content", "settled", F.explode(F.when(F.col("settled"), whole).otherwise(one)).alias("w"))
     least = F.expr("min(key) over (partition by symbol, words)")
-    found = candidates.withColumn("least", least).filter("settled or key > least")
-    return found.groupBy("key", "content").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = windows.select("symbol", "w.words", "key", "content", "settled", "w.places").withColumn("least", least).filter("settled or key > least")
+    each = found.groupBy("key", "content").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("content", "places"))).alias("removed"))
 
 
 def covered(n: int, places: list[int] | None, width: int = WIDTH) -> np.ndarray:
@@ -249,7 +252,10 @@ def covered(n: int, places: list[int] | None, width: int = WIDTH) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text): each text less its repeated words."""
+    """(doc_id, n_words, n_removed, kept_text): each text less its repeated words.
+
+    Texts are shuffled once: both joins by key read the same exchange.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, 1):
             rows = []
@@ -260,11 +266,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 rows.append((len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass")))
             n, removed, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                                             names=["doc_id", "n_words", "n_removed", "kept_text"])
+                                             names=["key", "n_words", "n_removed", "kept_text"])
 
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"),
-                        F.xxhash64(text).alias("content"), text.alias("text"))
-    found = write_through(repeated_windows(keyed.select("key", "content", "text"), width), "repeated-windows")
-    joined = keyed.join(found, ["key", "content"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("content"), text.alias("text"))
+    joined = keyed.join(repeated_windows(keyed, width), "key", "left").select("key", "text", F.try_element_at("removed", F.col("content")).alias("places"))
+    kept = joined.mapInArrow(run, "key bigint, n_words bigint, n_removed bigint, kept_text string")
+    return kept.select(F.when(F.col("key") < LAST, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_text")
