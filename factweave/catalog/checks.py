@@ -188,7 +188,7 @@ QUERIES["calc_ratio"] = calc_ratio
 _RATIO_VALUES = ", ".join(f"('{n}', '{a}', '{b}')" for n, a, b in RATIOS)
 RATIO_SQL = f"""
 req AS (SELECT * FROM (VALUES {_RATIO_VALUES}) t(formula_name, na, da)),
-base AS (SELECT *, CAST(round(norm_value * 100) AS HUGEINT) AS cents FROM facts),
+base AS MATERIALIZED (SELECT *, CAST(round(norm_value * 100) AS HUGEINT) AS cents FROM facts),
 ratios AS (
   SELECT n.document_id || '|' || n.c_custkey || '|' || n.y || '|' || q.formula_name AS calc_id, q.formula_name, n.document_id, n.c_custkey, n.y,
          n.cents AS num, d.cents AS den, n.fact_id AS nf, d.fact_id AS df

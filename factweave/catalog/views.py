@@ -1,7 +1,7 @@
 """The derived fact views as plain SQL, shared by the check queries."""
 
 ORDER_GROUPS = """
-grp AS (
+grp AS MATERIALIZED (
   SELECT o_orderpriority AS document_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS p,
          c_custkey, c_name AS entity_canon, CAST(year(o_orderdate) AS INTEGER) AS y,
          sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total, count(*) AS n, max(c_acctbal) AS c_acctbal
@@ -17,7 +17,7 @@ _COMMON = """
   document_id || '/' || (c_custkey % 50) AS chunk_id"""
 
 ORDER_FACTS = ORDER_GROUPS + f""",
-facts AS (
+facts AS MATERIALIZED (
   SELECT {_COMMON} FROM (
     SELECT *, 'standalone' AS scope, CAST(0.9 AS DOUBLE) AS confidence, 'total_revenue' AS attribute_canon,
            CAST(total AS VARCHAR) AS raw_value, CAST(total AS DOUBLE) AS norm_value, 'currency' AS norm_unit, 'USD' AS currency FROM grp
@@ -30,7 +30,7 @@ facts AS (
 )"""
 
 CONTEXT_FACTS = ORDER_GROUPS + f""",
-ctx AS (
+ctx AS MATERIALIZED (
   SELECT *,
     CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN p = 2 THEN 'standalone' ELSE 'consolidated' END END AS scope,
     CAST(CASE WHEN p = 1 AND (c_custkey + y) % 11 = 0 THEN 0.4 WHEN (c_custkey + y) % 13 = 0 THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence,
@@ -38,7 +38,7 @@ ctx AS (
     c_acctbal * (CAST(1.0 AS DOUBLE) + CAST((c_custkey + y + p) % 7 AS DOUBLE) / CAST(200.0 AS DOUBLE)) AS bal
   FROM grp
 ),
-facts AS (
+facts AS MATERIALIZED (
   SELECT {_COMMON} FROM (
     SELECT *, 'total_revenue' AS attribute_canon, CAST(total AS VARCHAR) AS raw_value,
            CASE WHEN p = 3 THEN CAST(total AS DOUBLE) / CAST(0.012 AS DOUBLE) ELSE CAST(total AS DOUBLE) END AS norm_value,
@@ -57,7 +57,7 @@ facts AS (
 )"""
 
 STATUS_FACTS = """
-grp AS (
+grp AS MATERIALIZED (
   SELECT c_custkey, c_name AS entity_canon, CAST(year(o_orderdate) AS INTEGER) AS y,
          sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS f,
          sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS o,
@@ -66,7 +66,7 @@ grp AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
   GROUP BY c_custkey, c_name, year(o_orderdate)
 ),
-facts AS (
+facts AS MATERIALIZED (
   SELECT 'statement-' || y || '|' || c_custkey || '|' || y || '|' || attribute_canon AS fact_id,
          'statement-' || y AS document_id, entity_canon, attribute_canon,
          CAST(v AS DOUBLE) AS norm_value, 'FY' || y AS period, c_custkey, y
@@ -85,7 +85,7 @@ facts AS (
 )"""
 
 METRIC_FACTS = """
-facts AS (
+facts AS MATERIALIZED (
   SELECT CAST(o_orderkey AS VARCHAR) AS fact_id, o_orderpriority AS document_id, o_orderpriority || '.pdf' AS filename,
          c_name AS entity_canon,
          CASE o_orderkey % 5 WHEN 0 THEN 'total_revenue' WHEN 1 THEN 'ebitda' WHEN 2 THEN 'net_income'
@@ -95,21 +95,21 @@ facts AS (
 )"""
 
 EVENT_FACTS = """
-facts AS (
+facts AS MATERIALIZED (
   SELECT CAST(event_id AS VARCHAR) AS fact_id, event_type AS document_id, event_type || '-source' AS entity_canon,
          'value' AS attribute_canon, value AS norm_value
   FROM events
 )"""
 
 BALANCE_FACTS = """
-facts AS (
+facts AS MATERIALIZED (
   SELECT CAST(c_custkey AS VARCHAR) AS fact_id, c_mktsegment AS document_id, c_name AS entity_canon,
          'account_balance' AS attribute_canon, c_acctbal AS norm_value
   FROM customer
 )"""
 
 LINE_FACTS = """
-facts AS (
+facts AS MATERIALIZED (
   SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS fact_id,
          'ledger-' || (l_orderkey % 100) AS document_id, 'order-' || l_orderkey AS entity_canon,
          'unit_price' AS attribute_canon, l_extendedprice / l_quantity AS norm_value,
