@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factweave.llm.common import bound_batches
 from factweave.llm.tokens import load
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -111,6 +112,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, assistant: str = "assi
         if turns:
             yield emit(now, segment, turns)
 
+    bound_batches(rows.sparkSession)
     dealt = rows.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text").repartition("conv_id")
     ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, RENDERED)

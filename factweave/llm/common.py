@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factweave.session import write_through
 
@@ -13,6 +13,17 @@ from factweave.session import write_through
 STEP_CHARS = 2_000_000
 
 
+#: rows of text in an Arrow batch; Spark's own default of 10,000 is meant for narrow rows
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session small enough for texts, unless it sets their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: int = 0) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cuts Arrow batches into slices of about STEP_CHARS; null texts come out as empty."""
     for batch in batches:

@@ -31,7 +31,7 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factweave.llm.common import steps
+from factweave.llm.common import bound_batches, steps
 
 # fixed values: names and words of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -288,6 +288,7 @@ def main_text(html: str, weights: Weights) -> str:
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(page_id, url, text) for rows with page_id, url and html."""
+    bound_batches(pages.sparkSession)
     weights = weights or learn(pages, F.col("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,11 +22,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from factweave.llm.common import STEP_CHARS, steps
+from factweave.llm.common import STEP_CHARS, bound_batches, steps
 
 DIMENSIONS = 4096
 SAMPLE_ROWS = 2400
@@ -111,6 +110,7 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample_rows: int = SAMPLE_ROWS) -> Centroids:
     """Learns the centroids from rows whose lang is not null."""
+    bound_batches(rows.sparkSession)
     labelled = rows.select(key.alias("key"), text.alias("text"), lang.alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -146,18 +146,24 @@ def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample_rows: i
     return Centroids(languages, idf, np.concatenate(centres), np.array(owner), np.array(least))
 
 
-def classify(text: Column, model: Centroids) -> Column:
-    """struct(lang_pred, score, accepted) of a text column."""
-    @F.pandas_udf("lang_pred string, score double, accepted boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        names, scores, accepted = model.predict([None if t is None else t for t in texts])
-        return pd.DataFrame({"lang_pred": names, "score": scores, "accepted": accepted})
+def classify(docs: DataFrame, text: Column, carried: Column, model: Centroids) -> DataFrame:
+    """(carried, lang_pred, score, accepted) for each row; `carried` may be a struct."""
+    rows = docs.select(carried.alias("carried"), text.alias("text"))
 
-    return run(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _ in steps(iter([batch]), 1):
+                names, scores, accepted = model.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores), pa.array(accepted)],
+                                                 names=["carried", "lang_pred", "score", "accepted"])
+
+    schema = T.StructType([rows.schema["carried"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("accepted", T.BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents whose language is recognised, with all their columns."""
     model = fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"), sample_rows)
-    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("l_record"))
-    return held.withColumn("l_found", classify(F.col("l_record.text"), model)).filter("l_found.accepted").select("l_record.*")
+    record = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    return classify(docs, F.col("text"), record, model).filter("accepted").select("carried.*")

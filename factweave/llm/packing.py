@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factweave.llm.common import steps
+from factweave.llm.common import bound_batches, steps
 from factweave.llm.tokens import Encoder
 from factweave.session import write_through
 
@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int
             arrays = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
 

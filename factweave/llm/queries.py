@@ -58,8 +58,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     model = langid.fit(docs.filter(~held_out), F.col("text"), F.col("lang"), F.col("doc_id"))
-    found = docs.select("doc_id", held_out.alias("held_out"), langid.classify(F.col("text"), model).alias("found"))
-    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+    found = langid.classify(docs, F.col("text"), F.struct("doc_id", held_out.alias("held_out")), model)
+    return found.select("carried.doc_id", "carried.held_out", "lang_pred", "score")
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

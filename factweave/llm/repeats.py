@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from factweave.llm.common import steps
+from factweave.llm.common import bound_batches, steps
 
 WIDTH = 13
 #: pairs are merged in each round; runs are named before the rounds in RUN_ROUNDS
@@ -268,6 +268,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                                              names=["key", "n_words", "n_removed", "kept_text"])
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("content"), text.alias("text"))
     joined = keyed.join(repeated_windows(keyed, width), "key", "left").select("key", "text", F.try_element_at("removed", F.col("content")).alias("places"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factweave.llm.common import numbered, steps
+from factweave.llm.common import bound_batches, numbered, steps
 from factweave.llm.graph import roots
 from factweave.session import write_through
 
@@ -62,6 +62,7 @@ def fingerprints(rows: DataFrame, key: Column, text: Column) -> DataFrame:
             found = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["key", "fp"])
 
+    bound_batches(rows.sparkSession)
     return rows.select(key.cast("bigint").alias("key"), text.alias("text")).mapInArrow(run, "key bigint, fp bigint")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from factweave.llm.common import STEP_CHARS
+from factweave.llm.common import STEP_CHARS, bound_batches
 
 K, S, SKETCH = 16, 6, 64
 #: hex digits of an anchor's hash and of its position in a fingerprint
@@ -164,6 +164,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
                 "fingerprint": print_, "edited_fingerprint": edited_print, "near_edited": likeness(print_, edited_print),
                 "near_next": likeness(print_, following[4])}
 
+    bound_batches(docs.sparkSession)
     return _with_next(docs.select("doc_id", "text")).mapInArrow(run, REPORT)
 
 
