@@ -211,30 +211,32 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             group = np.cumsum(_firsts(symbol, words)) - 1
             least = key[_firsts(symbol, words)][group] if len(key) else key
             later = key > least
-            # one row for each document and symbol whose windows only other steps can settle
+            # one row for each stretch of windows with one symbol that only other steps can settle
             asked = np.flatnonzero(~later)
             asked = asked[np.lexsort((place[asked], doc[asked], symbol[asked]))]
-            rows = np.flatnonzero(_firsts(symbol[asked], doc[asked]))
+            rows = np.flatnonzero(_firsts(symbol[asked], doc[asked], place[asked] - np.arange(len(asked))))
             # one row for each document with what is settled here
             done = np.flatnonzero(later)
             done = done[np.argsort(doc[done], kind="stable")]
             done_at = np.flatnonzero(_firsts(doc[done]))
             owner = np.concatenate((doc[asked[rows]], doc[done[done_at]]))
-            apart = _join(keys[doc[done[done_at]]].astype(np.uint64), contents[doc[done[done_at]]].view(np.uint64))
-            offsets = np.concatenate((rows, len(asked) + done_at, [len(asked) + len(done)])).astype(np.int32)
+            apart = _join(keys[doc[done[done_at]]].astype(np.uint64), contents[doc[done[done_at]]].astype(np.uint64))
+            asks = np.append(rows, np.full(len(done_at) + 1, len(asked))).astype(np.int32)
+            settled = np.concatenate((np.zeros(len(rows), np.int64), np.append(done_at, len(done)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate((symbol[asked[rows]], apart)).view(np.int64)), pa.array(keys[owner]), pa.array(contents[owner]),
-                 pa.ListArray.from_arrays(pa.array(np.minimum(offsets, len(asked))), pa.array(words[asked].view(np.int64))),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate((place[asked], place[done])).astype(np.int32))),
-                 pa.array(np.arange(len(owner)) >= len(rows))],
-                names=["symbol", "key", "content", "words", "places", "settled"])
+                 pa.array(np.concatenate((place[asked[rows]], np.full(len(done_at), -1))).astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(asks), pa.array(words[asked].view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(settled), pa.array(place[done].astype(np.int32)))],
+                names=["symbol", "key", "content", "start", "words", "places"])
 
     candidates = docs.join(shared_symbols(docs, width), "key").select("key", "content", "text", "symbols").mapInArrow(
-        run, "symbol bigint, key bigint, content bigint, words array<bigint>, places array<int>, settled boolean")
+        run, "symbol bigint, key bigint, content int, start int, words array<bigint>, places array<int>")
     # dealt by symbol, a row may carry all its windows; they are laid out where they meet
-    one = F.transform(F.arrays_zip("words", "places"), lambda w: F.struct(w["words"].alias("words"), F.array(w["places"]).alias("places")))
+    settled = F.col("start") < 0
+    one = F.transform("words", lambda w, i: F.struct(w.alias("words"), F.array(F.col("start") + i).alias("places")))
     whole = F.array(F.struct(F.lit(None).cast("bigint").alias("words"), F.col("places").alias("places")))
-    windows = candidates.repartition("symbol").select("symbol", "key", "content", "settled", F.explode(F.when(F.col("settled"), whole).otherwise(one)).alias("w"))
+    windows = candidates.repartition("symbol").select("symbol", "key", "content", settled.alias("settled"), F.explode(F.when(settled, whole).otherwise(one)).alias("w"))
     least = F.expr("min(key) over (partition by symbol, words)")
     found = windows.select("symbol", "w.words", "key", "content", "settled", "w.places").withColumn("least", least).filter("settled or key > least")
     each = found.groupBy("key", "content").agg(F.flatten(F.collect_list("places")).alias("places"))
@@ -270,7 +272,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("content"), text.alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.hash(text).alias("content"), text.alias("text"))
     joined = keyed.join(repeated_windows(keyed, width), "key", "left").select("key", "text", F.try_element_at("removed", F.col("content")).alias("places"))
     kept = joined.mapInArrow(run, "key bigint, n_words bigint, n_removed bigint, kept_text string")
     return kept.select(F.when(F.col("key") < LAST, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_text")
