@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factweave.session import write_through
+from factweave.session import new_path
 
 #: code points of text that one step inside a task handles at once (a longer text is a step of its own)
 STEP_CHARS = 2_000_000
@@ -38,9 +38,27 @@ def steps(batches: Iterator[pa.RecordBatch], text: int = 0) -> Iterator[tuple[pa
             yield batch.slice(start), texts[start:]
 
 
+#: tables written by `numbered` in this process, until `clear_tables` removes them
+_TABLES: list[str] = []
+
+
+def clear_tables(docs: DataFrame) -> None:
+    """Removes the tables that `numbered` wrote for earlier steps, once their results have been
+    written and read again: those that the plan of `docs` doesn't read any more."""
+    files, jvm = docs.inputFiles() if _TABLES else [], docs.sparkSession.sparkContext._jvm
+    for path in list(_TABLES):
+        if not any(path.rsplit("/", 1)[-1] in f for f in files):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _TABLES.remove(path)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder as (row_no, record); row_no is unique and stays the
     same however often the table is read, so equal rows can be told apart. `record` holds the
     columns as they came, whatever their names."""
     held = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("record"))
-    return write_through(held, name)
+    path = new_path(docs.sparkSession, name)
+    held.write.parquet(path)
+    _TABLES.append(path)
+    return docs.sparkSession.read.schema(held.schema).parquet(path)
