@@ -400,6 +400,41 @@ WHERE (a_document_id = '2-HIGH' OR b_document_id = '2-HIGH') AND NOT (a_period =
 """
 
 
+def _vector_facts(spark, folder):
+    e = read_table(spark, folder, "embeddings")
+    i = F.col("vec_id")
+    return e.select(
+        i.alias("fact_id"), F.concat(F.lit("D"), (i % 20).cast("string")).alias("document_id"), F.lit("acme").alias("entity_canon"), F.col("label").alias("attribute_canon"),
+        (i % 3 + 100).cast("double").alias("norm_value"), F.lit("currency").alias("norm_unit"), F.lit("USD").alias("currency"),
+        F.concat(F.lit("FY"), (i % 2 + 2020).cast("string")).alias("period"), F.lit("standalone").alias("scope"), F.lit(0.9).cast("double").alias("confidence"),
+        (i % 3 + 100).cast("string").alias("raw_value"), "embedding")
+
+
+def reconcile_semantic(spark, folder):
+    """One document against all facts by exact and semantic pairs: what is related already is left out.
+    The threshold is that of the other queries on these vectors, since none are as near as 0.86."""
+    facts = _vector_facts(spark, folder)
+    known = pairing.pairs.pair_up(facts.drop("embedding").filter("period = 'FY2020'"), pairing.PAIR_KEYS).select(F.col("a_fact_id").alias("fact_a"), F.col("b_fact_id").alias("fact_b"))
+    rows = analysis.reconcile_document(facts, known, "D2", threshold=0.40)
+    return rows.select("fact_a", "fact_b", "relation", F.array_join("rules_applied", ",").alias("rules"))
+
+
+_VECTOR_SIDES = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in pairing.reconcile.COMPARED)
+QUERIES["reconcile_semantic"] = reconcile_semantic
+ORACLES["reconcile_semantic"] = f"""
+WITH facts AS (
+  SELECT vec_id AS fact_id, 'D' || (vec_id % 20) AS document_id, 'acme' AS entity_canon, label AS attribute_canon, CAST(vec_id % 3 + 100 AS DOUBLE) AS norm_value,
+         'currency' AS norm_unit, 'USD' AS currency, 'FY' || (vec_id % 2 + 2020) AS period, 'standalone' AS scope, CAST(0.9 AS DOUBLE) AS confidence,
+         CAST(vec_id % 3 + 100 AS VARCHAR) AS raw_value, embedding FROM embeddings),
+pairs AS (
+  SELECT a.entity_canon, a.attribute_canon, {_VECTOR_SIDES} FROM facts a JOIN facts b ON a.fact_id < b.fact_id
+  WHERE (a.entity_canon = b.entity_canon AND a.attribute_canon = b.attribute_canon AND NOT (a.period = 'FY2020' AND b.period = 'FY2020'))
+     OR (a.attribute_canon <> b.attribute_canon AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.40)
+), {views.RULES}
+SELECT a_fact_id AS fact_a, b_fact_id AS fact_b, relation, rules FROM ruled WHERE a_document_id = 'D2' OR b_document_id = 'D2'
+"""
+
+
 def _dimension(spark, folder):
     n = read_table(spark, folder, "nation")
     stored = n.select(
