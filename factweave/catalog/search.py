@@ -194,6 +194,21 @@ WHERE c.turn + 1 IN (1, 2, 4) OR contains(a.text, '[' || (c.turn + 1) || ']') OR
 """
 
 
+def citations_of_turns(spark, folder):
+    """Every turn as an answer, keyed by (conv_id, turn), over the context of its conversation."""
+    c = read_table(spark, folder, "conversations")
+    answers = c.select("conv_id", "turn", F.concat(F.lit("Total [2] and [F1], again [2], unknown [77] — "), "text", F.lit(" [4]")).alias("answer"))
+    context = c.select("conv_id", (F.col("turn") + 1).alias("number"), F.col("role").alias("quote"))
+    return retrieval.citations(answers, context, ["conv_id", "turn"], "answer", ["conv_id"]).select("conv_id", "turn", "number", "quote")
+
+
+QUERIES["citations_of_turns"] = citations_of_turns
+ORACLES["citations_of_turns"] = """
+SELECT a.conv_id, a.turn, c.turn + 1 AS number, c.role AS quote FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id
+WHERE c.turn + 1 IN (1, 2, 4) OR contains(a.text, '[' || (c.turn + 1) || ']') OR contains(a.text, '[F' || (c.turn + 1) || ']')
+"""
+
+
 def _answers(spark, folder):
     c = read_table(spark, folder, "conversations")
     return c.select(

@@ -125,11 +125,13 @@ def with_context_lines(numbered: DataFrame) -> DataFrame:
     return numbered.withColumn("context_line", context_line(F.col("number")))
 
 
-def citations(answers: DataFrame, context: DataFrame, key: str, answer: str) -> DataFrame:
-    """Context facts an answer cites as [n] or [Fn]; the first mention counts, unknown numbers are ignored."""
-    tokens = answers.select(key, F.posexplode(F.regexp_extract_all(answer, F.lit(V.CITATION), F.lit(1))).alias("position", "token"))
-    first = tokens.groupBy(key, F.col("token").cast("bigint").alias("number")).agg(F.min("position").alias("position"))
-    return first.join(context, [key, "number"])
+def citations(answers: DataFrame, context: DataFrame, key: str | list[str], answer: str, within: list[str] | None = None) -> DataFrame:
+    """Context facts an answer cites as [n] or [Fn]; the first mention counts, unknown numbers are ignored.
+    `within` names those of the keys that the context has, if not all."""
+    keys = [key] if isinstance(key, str) else key
+    tokens = answers.select(*keys, F.posexplode(F.regexp_extract_all(answer, F.lit(V.CITATION), F.lit(1))).alias("position", "token"))
+    first = tokens.groupBy(*keys, F.col("token").cast("bigint").alias("number")).agg(F.min("position").alias("position"))
+    return first.join(context, [*(within or keys), "number"])
 
 
 def artifacts(answers: DataFrame, key: str, answer: str) -> DataFrame:

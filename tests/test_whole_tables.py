@@ -28,7 +28,7 @@ def test_reconcile_document_has_semantic_pairs(make_facts):
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
-@pytest.mark.parametrize("name", ["reconcile_semantic"])
+@pytest.mark.parametrize("name", ["reconcile_semantic", "citations_of_turns"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for file in Path(FOLDER).glob("*.parquet"):
