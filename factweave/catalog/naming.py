@@ -285,10 +285,19 @@ UNION ALL SELECT chunk_id, 'Net debt', '(' || q || ') cr', 'FY2023', 'Net debt s
 
 
 def quote_check(spark, folder):
-    d = read_table(spark, folder, "documents")
-    quote = F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring_index("text", "\n", 1))).otherwise(F.lit("#@#@#@#@ 0000 @#@#@#@#"))
-    return d.select("doc_id", text.verified_confidence(quote, F.col("text"), F.lit(0.9)).alias("confidence"))
+    """A quote of 40 to 160 letters from anywhere in each text: as it stands, with every twentieth
+    letter changed, or with every other letter changed (never found), by doc_id."""
+    d = read_table(spark, folder, "documents").select("doc_id", "text", F.length("text").alias("n"))
+    placed = d.selectExpr("doc_id", "text", "cast(pmod(doc_id * 7919, greatest(n - 160, 1)) as int) as start", "cast(40 + doc_id % 121 as int) as size")
+    taken = placed.select("doc_id", "text", F.expr("translate(substring(text, start + 1, size), 'aeiou', 'AEIOU')").alias("taken"))
+    altered = lambda every: F.regexp_replace("taken", f"(?s)(.{{{every - 1}}}).", "$1\u00a4")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.col("taken")).when(F.col("doc_id") % 3 == 1, altered(20)).otherwise(altered(2))
+    return taken.select("doc_id", text.verified_confidence(quote, F.col("text"), F.lit(0.9)).alias("confidence"))
 
 
 QUERIES["quote_check"] = quote_check
-ORACLES["quote_check"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS confidence FROM documents"
+# A quote of L letters of which floor(L / k) are changed to one that no text has shares at most the
+# others: a ratio of 95 or more for k = 20, and of about half for k = 2. Texts of fewer than two letters have nothing to change.
+ORACLES["quote_check"] = """
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 OR coalesce(length(text), 0) < 2 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS confidence FROM documents
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.catalog import views
-from factweave.operators import pairs, reconcile, relations, tieouts
+from factweave.operators import counting, pairs, reconcile, relations, tieouts
 from factweave.sources import facts as facts_of
 
 QUERIES: dict = {}
@@ -83,7 +83,7 @@ SELECT entity_canon, attribute_canon, a_fact_id, b_fact_id, relation, rules, con
 
 
 def relation_counts(spark, folder):
-    return reconcile.relation_counts(_context(spark, folder))
+    return counting.relation_counts(_context(spark, folder))
 
 
 QUERIES["relation_counts"] = relation_counts

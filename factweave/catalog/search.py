@@ -249,25 +249,40 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4
 """
 
 
-def _arriving(rows, order, parts):
-    """A stream that delivers a table in batches, `parts` of them, by the order of one column."""
-    spark, path = rows.sparkSession, session.new_path(rows.sparkSession, "arriving")
+def _arriving(rows, order, parts, job):
+    """Delivers a table to `job(stream, home)` in parts, by the order of one column (nulls come
+    first), and returns what the job has after the last one. Each part is one batch."""
+    spark, staged, path = rows.sparkSession, session.new_path(rows.sparkSession, "staged"), session.new_path(rows.sparkSession, "arriving")
     cuts = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
-    place = F.expr("0") + sum((F.col(order) > c).cast("int") for c in cuts)
+    place = F.expr("0") + sum((F.coalesce(F.col(order) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    rows.withColumn("part", place).write.partitionBy("part").parquet(staged)
+    found, home = None, session.new_path(spark, "home")
     for i in range(parts):
-        rows.filter(place == i).coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(spark, path, rows.schema, files_per_batch=1)
+        spark.read.parquet(staged).filter(F.col("part") == i).select(*rows.columns).write.mode("append").parquet(path)
+        found = job(jobs.file_stream(spark, path, rows.schema), home)
+    return found
 
 
 def stream_dedup(spark, folder):
-    stream = _arriving(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 3)
-    return jobs.deduplicated_intake(stream, "doc_id", "text")
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return _arriving(docs, "doc_id", 3, lambda stream, home: jobs.deduplicated_intake(stream, "doc_id", "text", home))
 
 
 QUERIES["stream_dedup"] = stream_dedup
 ORACLES["stream_dedup"] = "SELECT min(doc_id) AS document_id, sha256(text) AS sha256 FROM documents GROUP BY sha256(text)"
 
 
+def stream_dedup_watermark(spark, folder):
+    """Documents as if one came every millisecond; copies up to two days apart are recognised."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", F.timestamp_millis(F.coalesce("doc_id", F.lit(0))).alias("at"))
+    run = lambda stream, home: jobs.run_to_table(jobs.distinct_contents(stream, "text", "at", "2 days"), "contents", home)
+    return _arriving(docs, "doc_id", 3, run).select("sha256")
+
+
+QUERIES["stream_dedup_watermark"] = stream_dedup_watermark
+ORACLES["stream_dedup_watermark"] = "SELECT DISTINCT sha256(text) AS sha256 FROM documents"
+
+
 def stream_reconcile(spark, folder):
     facts = facts_of.context_facts(spark, folder).select(*reconcile.COMPARED, "entity_canon", "attribute_canon")
     arriving = session.new_path(spark, "arriving-facts")
@@ -287,8 +302,9 @@ SELECT a_fact_id AS fact_a, b_fact_id AS fact_b, relation, rules FROM ruled
 def stream_admission(spark, folder):
     events = read_table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").alias("at"), F.unix_micros("ts").alias("micros"))
-    keyed = _arriving(events, "micros", 3).drop("micros")
-    rows = jobs.run_to_table(jobs.admission(keyed, limit=3, window_seconds=86400), "admission")
+    run = lambda stream, home: jobs.run_to_table(
+        jobs.admission(stream.drop("micros"), limit=3, window_seconds=86400, lateness="1 day"), "admission", home)
+    rows = _arriving(events, "micros", 3, run)
     return rows.select("key", "event_id", "admitted")
 
 

@@ -98,6 +98,6 @@ def verified_confidence(quote: Column, text: Column, confidence: Column) -> Colu
     """
     q, t = F.lower(quote), F.lower(text)
     missing = ~t.contains(q)
-    similarity = F.coalesce(partial_ratio(F.when(missing, q), F.when(missing, t)), F.lit(100.0))
+    similarity = F.coalesce(partial_ratio(F.when(missing, q), F.when(missing, t), V.QUOTE_RATIO), F.lit(100.0))
     capped = F.round(F.least(confidence, F.lit(V.QUOTE_FALLBACK_CONFIDENCE)), 2)
     return F.when(similarity < V.QUOTE_RATIO, capped).otherwise(confidence)

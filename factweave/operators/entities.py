@@ -1,20 +1,27 @@
 """Fuzzy resolution of entity names.
 
 Two names match if the similarity of their sorted words exceeds a ratio. Matches are found
-without comparing all names: for two lengths the largest number of edits t that still
-exceeds the ratio is known, the shorter text cut into t+1 pieces must then share one piece
-with the longer text at nearly the same place, and pieces meet in an equi join.
+without comparing all names. For two lengths the largest number of edits t that still exceeds the
+ratio is known. The shorter text is cut into p > t pieces; every edit spoils one at most, so of
+any t + 1 pieces one stands in the longer text, at nearly the same place. The t + 1 pieces that
+stand in the fewest longer texts are taken (a word that all names begin with is none of them)
+and meet in an equi join; a piece that is frequent all the same is joined in blocks. Candidates
+whose letters alone differ by more than t are dropped before they are scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave import fixed_values as V
 from factweave.functions.numbers import strip
 from factweave.functions.similarity import token_sort_ratio
+from factweave.operators.pairs import pair_across
 from factweave.session import write_through
 
+#: classes of letters whose numbers are compared
+LETTER_CLASSES = 16
+
 
 def _sorted_words(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(strip(F.lower(name)), r"\s+")), " ")
@@ -25,52 +32,70 @@ def _edits(short: Column, long: Column, ratio: float) -> Column:
     return (F.ceil(F.lit(1 - ratio / 100) * (short + long) - F.lit(1e-9)) - 1).cast("int")
 
 
-def similar_names(left: DataFrame, right: DataFrame | None = None, ratio: float = V.ENTITY_RATIO) -> DataFrame:
-    """(left_name, right_name, score) for every pair with score > ratio; both have a column `name`.
+def _letters(text: Column) -> Column:
+    """How many letters of each class a text has."""
+    kinds = F.transform(F.split(text, ""), lambda ch: F.pmod(F.ascii(ch), F.lit(LETTER_CLASSES)))
+    return F.transform(F.sequence(F.lit(0), F.lit(LETTER_CLASSES - 1)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
+
 
-    Without `right` the names of `left` are compared with each other, each pair once, smaller name first.
+def name_candidates(left: DataFrame, right: DataFrame | None = None, ratio: float = V.ENTITY_RATIO) -> DataFrame:
+    """(left_name, right_name) of all names that can reach more than the ratio; both sides have a column `name`.
+
+    Without `right` the names of `left` meet each other, each pair once, smaller name first.
     """
     growth = (200 - ratio) / ratio  # the longer text is at most this many times the shorter one
 
     def texts(df: DataFrame) -> DataFrame:
-        return df.select("name").distinct().withColumn("t", _sorted_words(F.col("name"))).withColumn("n", F.length("t"))
+        sized = df.select("name").distinct().withColumn("t", _sorted_words(F.col("name"))).withColumn("n", F.length("t"))
+        return write_through(sized.filter(F.col("n") > 0).withColumn("letters", _letters(F.col("t"))), "name-texts")
 
-    def pieces(df: DataFrame) -> DataFrame:
-        """The shorter side: its pieces for every admissible length of the longer side."""
-        longest = F.floor(F.col("n") * growth + 1e-9).cast("int")
-        sized = df.filter(F.col("n") > 0).withColumn("m", F.explode(F.sequence(F.col("n"), longest)))
-        cut = sized.withColumn("k", _edits(F.col("n"), F.col("m"), ratio) + 1).filter(F.col("k") > F.col("m") - F.col("n"))
-        each = cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        start = F.floor(F.col("i") * F.col("n") / F.col("k")).cast("int")
-        end = F.floor((F.col("i") + 1) * F.col("n") / F.col("k")).cast("int")
-        return each.select("name", "n", "m", "i", F.expr("substring(t, cast(floor(i * n / k) as int) + 1, "
-                           "cast(floor((i + 1) * n / k) as int) - cast(floor(i * n / k) as int))").alias("piece")).filter(end > start)
+    def cut(df: DataFrame) -> DataFrame:
+        """For two lengths n <= m: edits k, number of pieces p, and the piece numbers i."""
+        edited = df.withColumn("k", _edits(F.col("n"), F.col("m"), ratio)).filter(F.col("k") >= F.col("m") - F.col("n"))
+        pieces = edited.withColumn("p", F.greatest(F.col("k") + 1, F.least(2 * (F.col("k") + 1), F.expr("n div 3"))))
+        each = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+        return each.selectExpr("*", "cast(i * n div p as int) as start", "cast((i + 1) * n div p - i * n div p as int) as size")
 
     def windows(df: DataFrame) -> DataFrame:
-        """The longer side: its substrings where a piece of a shorter text could sit."""
+        """The longer side: its substrings where a piece of a shorter text could stand."""
         shortest = F.greatest(F.lit(1), F.ceil(F.col("n") / growth - 1e-9).cast("int"))
-        sized = df.filter(F.col("n") > 0).select("name", "t", F.col("n").alias("m"), F.explode(F.sequence(shortest, F.col("n"))).alias("n"))
-        cut = sized.withColumn("k", _edits(F.col("n"), F.col("m"), ratio) + 1).filter(F.col("k") > F.col("m") - F.col("n"))
-        each = cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        each = each.withColumn("start", F.expr("cast(floor(i * n / k) as int)")).withColumn(
-            "size", F.expr("cast(floor((i + 1) * n / k) as int) - start"))
-        shifted = each.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - F.col("k") + 1),
-                                                             F.col("start") + F.col("k") - 1)))
-        return shifted.filter(F.col("at") + F.col("size") <= F.col("m")).select(
-            "name", "n", "m", "i", F.expr("substring(t, at + 1, size)").alias("piece")).distinct()
+        sized = df.select("name", "t", "letters", F.col("n").alias("m"), F.explode(F.sequence(shortest, F.col("n"))).alias("n"))
+        # m - n more insertions than deletions bound the shift to either side
+        shifted = cut(sized).withColumn("at", F.expr("explode(sequence(greatest(0, start - (k - m + n) div 2), start + (k + m - n) div 2))"))
+        return shifted.filter((F.col("at") + F.col("size") <= F.col("m")) & (F.col("size") > 0)).select(
+            "name", "letters", "n", "m", "i", F.expr("substring(t, at + 1, size)").alias("piece")).distinct()
 
     keys = ["n", "m", "i", "piece"]
-    meet = lambda a, b: pieces(a).withColumnRenamed("name", "short").join(windows(b).withColumnRenamed("name", "long"), keys)
+
+    def pieces(df: DataFrame, longer: DataFrame) -> DataFrame:
+        """The shorter side: of each text and longer length the k + 1 pieces that are rarest on the longer side."""
+        longest = F.floor(F.col("n") * growth + 1e-9).cast("int")
+        each = cut(df.withColumn("m", F.explode(F.sequence(F.col("n"), longest)))).withColumn("piece", F.expr("substring(t, start + 1, size)"))
+        often = longer.groupBy(*keys).agg(F.count(F.lit(1)).alias("often"))
+        counted = each.filter(F.col("size") > 0).join(often, keys, "left").withColumn("often", F.coalesce("often", F.lit(0)))
+        rarest = Window.partitionBy("name", "m").orderBy("often", "i")
+        ranked = counted.withColumn("rank", F.row_number().over(rarest)).filter((F.col("rank") <= F.col("k") + 1) & (F.col("often") > 0))
+        return write_through(ranked.select("name", "letters", "k", *keys), "name-pieces")
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        longer = write_through(windows(b), "name-windows")
+        met = pair_across(pieces(a, longer), longer, keys)
+        apart = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        return met.filter(apart <= F.col("a_k")).select(F.col("a_name").alias("short"), F.col("b_name").alias("long"))
+
     if right is None:
-        # each pair once: the shorter name first, equal lengths in either order
         own = texts(left)
-        candidates = meet(own, own).select(F.least("short", "long").alias("left_name"), F.greatest("short", "long").alias("right_name"))
+        found = meet(own, own).select(F.least("short", "long").alias("left_name"), F.greatest("short", "long").alias("right_name"))
     else:
         l, r = texts(left), texts(right)
-        candidates = meet(l, r).select(F.col("short").alias("left_name"), F.col("long").alias("right_name")).union(
+        found = meet(l, r).select(F.col("short").alias("left_name"), F.col("long").alias("right_name")).union(
             meet(r, l).select(F.col("long").alias("left_name"), F.col("short").alias("right_name")))
-    candidates = candidates.filter(F.col("left_name") != F.col("right_name")).distinct()
-    scored = candidates.withColumn("score", token_sort_ratio(F.lower("left_name"), F.lower("right_name")))
+    return found.filter(F.col("left_name") != F.col("right_name")).distinct()
+
+
+def similar_names(left: DataFrame, right: DataFrame | None = None, ratio: float = V.ENTITY_RATIO) -> DataFrame:
+    """(left_name, right_name, score) for every candidate with score > ratio."""
+    scored = name_candidates(left, right, ratio).withColumn("score", token_sort_ratio(F.lower("left_name"), F.lower("right_name")))
     return scored.filter(F.col("score") > ratio)
 
 

@@ -53,12 +53,9 @@ def _opposition(a: Column, b: Column) -> Column:
     return F.coalesce(*found)
 
 
-def apply_rules(pairs: DataFrame, with_text: bool = True, explain: bool = True) -> DataFrame:
-    """Adds relation, rules (array), relation_confidence and, if asked, explanation.
-
-    Numeric rules stay in generated code. `with_text=False` leaves pairs without two numbers
-    unclassified (null) and needs no Python at all.
-    """
+def sides(pairs: DataFrame) -> DataFrame:
+    """Adds what the rules read of both sides: cleaned axes, what differs (`_context`), and the
+    values in comparable terms (`_xa`, `_xb`: by `_af`, `_bf`, `_rate`) with their `_delta`."""
     col = lambda name: _column(pairs, name)
     p = pairs.withColumns(
         {
@@ -100,12 +97,22 @@ def apply_rules(pairs: DataFrame, with_text: bool = True, explain: bool = True)
             "_xb": F.when(c("_bf"), c("_vb") * 100.0).when(c("_rate").isNotNull(), c("_vb") * c("_rate")).otherwise(c("_vb")),
         }
     )
-    p = p.withColumns(
+    return p.withColumns(
         {
             "_context": c("_dp") | c("_ds") | c("_de") | c("_dc") | c("_du"),
             "_delta": F.when(c("_both"), relative_delta(c("_xa"), c("_xb"))),
         }
     )
+
+
+def apply_rules(pairs: DataFrame, with_text: bool = True, explain: bool = True) -> DataFrame:
+    """Adds relation, rules (array), relation_confidence and, if asked, explanation.
+
+    Numeric rules stay in generated code. `with_text=False` leaves pairs without two numbers
+    unclassified (null) and needs no Python at all.
+    """
+    col = lambda name: _column(pairs, name)
+    p, c = sides(pairs), F.col
     match = c("_delta") <= V.TOLERANCE
     if with_text:
         text = ~c("_low") & ~c("_context") & ~c("_both")
@@ -212,7 +219,7 @@ def as_relations(ruled: DataFrame, more: list[str] | None = None) -> DataFrame:
     )
 
 
-# ── counting relations without listing them ──────────────────────────────────
+# ── a ledger of relations without listing them ───────────────────────────────
 
 def claims(facts: DataFrame, more_keys: list[str] | None = None) -> DataFrame:
     """Facts that say the same thing under the same entity and attribute, collapsed.
@@ -280,8 +287,3 @@ def relation_ledger(facts: DataFrame) -> DataFrame:
     compared = apply_rules(met, explain=False).select(
         *by, "a_fact_id", "b_fact_id", "relation", "rules", weight.alias("n_pairs"))
     return arithmetic.unionByName(compared).filter(F.col("n_pairs") > 0).withColumn("n_pairs", F.col("n_pairs").cast("long"))
-
-
-def relation_counts(facts: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Number of fact pairs per relation, per `group` columns if given."""
-    return relation_ledger(facts).groupBy(*(group or []), "relation").agg(F.sum("n_pairs").alias("n_pairs"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave import fixed_values as V
+from factweave.operators.counting import relation_counts
 from factweave.operators.pairs import directed
-from factweave.operators.reconcile import relation_counts
 
 
 def expand_relations(

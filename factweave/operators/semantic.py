@@ -1,11 +1,13 @@
 """Exact threshold joins on cosine similarity.
 
-Vectors are scaled to length one, so that similarity above t means a distance below
-r = sqrt(2 - 2t). A few pivots, chosen by id hash, divide the space: every vector belongs to
-the cell of its nearest pivot p. A vector b at home with pivot q can be within r of a member
-of p's cell only if d(b, p) - d(b, q) <= 2r, so it visits just those cells. Pairs are
-therefore found inside cells: an equi join on the cell id without loss. Cells are cut into
-blocks of bounded size; a task multiplies two blocks and emits only pairs above t.
+Vectors are scaled to length one. A similarity above t is an angle below theta = arccos(t), and
+angles obey the triangle inequality. A few pivots, chosen by id hash, divide the space: every
+vector belongs to the cell of its nearest pivot. Of each cell the least and greatest angle of
+its members to every pivot is known. A vector can be within theta of a member only if its own
+angle to each pivot lies within theta of that range, so it visits just those cells: what is
+ruled out is ruled out before any vector is shipped. Pairs are therefore found inside cells, an
+equi join on the cell id without loss. Cells are cut into blocks of bounded size; a task
+multiplies two blocks and emits only pairs above t.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-PIVOTS = 16
+PIVOTS = 32
 BLOCK = 1024
 _ROUNDING = 1e-9
+#: allowance for angles, whose rounding errors are of the size of a root
+_ANGLE_ROUNDING = 1e-6
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -50,32 +54,63 @@ def _pivots(units: DataFrame, count: int) -> np.ndarray:
     return _matrix(pd.Series([r["v"] for r in units.orderBy(F.xxhash64("id"), "id").limit(count).collect()], dtype=object))
 
 
-def _in_cells(units: DataFrame, pivots: np.ndarray, reach: float, home: bool, visits: str) -> DataFrame:
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+
+def _bounds(units: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest angle of each cell's members (rows) to each pivot (columns)."""
+    count = len(pivots)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = np.full((count, count), np.inf), np.full((count, count), -np.inf)
+        for batch in batches:
+            if len(batch):
+                angles = _angles(_matrix(batch["v"]), pivots)
+                home = angles.argmin(1)
+                np.minimum.at(low, home, angles)
+                np.maximum.at(high, home, angles)
+        cells, columns = np.nonzero(np.isfinite(low))
+        yield pd.DataFrame({"cell": cells, "pivot": columns, "low": low[cells, columns], "high": high[cells, columns]})
+
+    low, high = np.full((count, count), np.inf), np.full((count, count), -np.inf)
+    found = units.select("v").mapInPandas(measure, "cell bigint, pivot bigint, low double, high double").groupBy("cell", "pivot")
+    for r in found.agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # at most pivots x pivots rows
+        low[r.cell, r.pivot], high[r.cell, r.pivot] = r.low, r.high
+    return low, high
+
+
+def _in_cells(units: DataFrame, pivots: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], theta: float, home: bool, visits: str) -> DataFrame:
     """One row per vector and cell it takes part in; `native` marks the home cell.
 
     visits: "none", "lower" (cells before the home cell) or "all" (also counts home as a visit).
     """
+    low, high = bounds[0] - theta - _ANGLE_ROUNDING, bounds[1] + theta + _ANGLE_ROUNDING
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             m = _matrix(batch["v"])
-            d = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * m @ pivots.T))
-            nearest = d.argmin(1)
-            near = (d - d[np.arange(len(m)), nearest][:, None]) <= 2.0 * reach + _ROUNDING
-            cells = np.arange(len(pivots))[None, :]
-            if visits == "lower":
-                near &= cells < nearest[:, None]
-            rows, columns = np.nonzero(near) if visits != "none" else (np.array([], int), np.array([], int))
+            angles = _angles(m, pivots)
+            nearest = angles.argmin(1)
+            cells = np.arange(len(pivots))
+            rows, columns = [], []
+            for cell in cells if visits != "none" else []:
+                near = ((angles >= low[cell]) & (angles <= high[cell])).all(1)
+                if visits == "lower":
+                    near &= cell < nearest
+                hit = np.flatnonzero(near)
+                rows.append(hit)
+                columns.append(np.full(len(hit), cell))
+            rows, columns = (np.concatenate(x) if x else np.array([], int) for x in (rows, columns))
+            native = np.zeros(len(rows), bool)
             if home:
                 rows, columns, native = (
                     np.concatenate([np.arange(len(m)), rows]),
                     np.concatenate([nearest, columns]),
-                    np.concatenate([np.ones(len(m), bool), np.zeros(len(rows), bool)]),
+                    np.concatenate([np.ones(len(m), bool), native]),
                 )
-            else:
-                native = np.zeros(len(rows), bool)
             yield pd.DataFrame({
                 "id": _ids(batch["id"].to_numpy()[rows]), "v": [batch["v"].iloc[i] for i in rows], "cell": columns.astype("int32"), "native": native,
             })
@@ -124,12 +159,21 @@ def _multiply(units: DataFrame, threshold: float) -> DataFrame:
     return units.groupBy("cell", "kind", "i", "j").applyInPandas(products, schema)
 
 
-def similar_pairs(df: DataFrame, threshold: float, id_column: str = "fact_id", vector: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(a_id, b_id, similarity) of all pairs above `threshold`, a_id < b_id."""
+def _theta(threshold: float) -> float:
+    return float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+
+
+def block_pairs(df: DataFrame, threshold: float, id_column: str, vector: str, pivots: int, block: int) -> DataFrame:
+    """The rows of each pair of blocks (cell, kind, i, j) that `similar_pairs` multiplies."""
     units = _unit_vectors(df, id_column, vector)
     chosen = _pivots(units, pivots)
-    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    found = _multiply(_work_units(_in_cells(units, chosen, reach, True, "lower"), block, True), threshold)
+    bounds = _bounds(units, chosen) if len(chosen) else (np.zeros((0, 0)), np.zeros((0, 0)))
+    return _work_units(_in_cells(units, chosen, bounds, _theta(threshold), True, "lower"), block, True)
+
+
+def similar_pairs(df: DataFrame, threshold: float, id_column: str = "fact_id", vector: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(a_id, b_id, similarity) of all pairs above `threshold`, a_id < b_id."""
+    found = _multiply(block_pairs(df, threshold, id_column, vector, pivots, block), threshold)
     return found.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "similarity")
 
 
@@ -141,9 +185,9 @@ def similar_across(left: DataFrame, right: DataFrame, threshold: float, left_id:
     chosen = _pivots(b, pivots)
     if not len(chosen):
         chosen = _pivots(a, pivots)
-    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    natives = _in_cells(a, chosen, reach, True, "none")
-    visitors = _in_cells(b, chosen, reach, False, "all")
+    bounds, theta = (_bounds(a, chosen) if len(chosen) else (np.zeros((0, 0)), np.zeros((0, 0)))), _theta(threshold)
+    natives = _in_cells(a, chosen, bounds, theta, True, "none")
+    visitors = _in_cells(b, chosen, bounds, theta, False, "all")
     found = _multiply(_work_units(natives.unionByName(visitors), block, False), threshold)
     return found.select(F.col("a_id").cast(a_type).alias("a_id"), F.col("b_id").cast(b_type).alias("b_id"), "similarity")
 

@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import names, numbers, text
 from factweave.functions.periods import normalized_period
-from factweave.functions.similarity import _common_subsequence, _partial_ratio, _sorted_ratio
+from factweave.functions.similarity import _common, _masks, _ratio, _sorted_ratio, best_partial_ratio
 from factweave.sources.intake import page_route
 
 
@@ -115,11 +116,46 @@ def test_similarity_against_brute_force():
     words = ["acme corp", "acme corporation", "corp acme", "", "zebra", "acne crop", "a", "abcabcabc"]
     for a in words:
         for b in words:
-            assert _common_subsequence(a, b) == brute_common(a, b)
+            assert _common(_masks(a), len(a), b) == brute_common(a, b)
     assert _sorted_ratio("corp acme", "acme corp") == 100.0
-    assert _partial_ratio("revenue rose", "we saw revenue rose fast") == 100.0
-    assert _partial_ratio("revenue roze", "we saw revenue rose fast") > 85.0
-    assert _partial_ratio("qqqq", "we saw revenue rose fast") == 0.0
+    assert best_partial_ratio("revenue rose", "we saw revenue rose fast") == 100.0
+    assert best_partial_ratio("revenue roze", "we saw revenue rose fast") > 85.0
+    assert best_partial_ratio("qqqq", "we saw revenue rose fast") == 0.0
+
+
+def brute_partial(a, b):
+    short, long = sorted((a, b), key=len) if len(a) != len(b) else (a, b)
+    if not short:
+        return 100.0 if not long else 0.0
+    return max(_ratio(short, long[max(0, end - len(short)) : end]) for end in range(1, len(long) + len(short)))
+
+
+def altered(rnd, quote, share):
+    out = []
+    for ch in quote:
+        x = rnd.random()
+        if x < share:
+            out += [] if x < share / 3 else [rnd.choice("abcde ")] if x < 2 * share / 3 else [ch, rnd.choice("abcde ")]
+        else:
+            out.append(ch)
+    return "".join(out)
+
+
+def test_partial_ratio_of_quotes_from_anywhere():
+    rnd = random.Random(4)
+    words = ["net", "revenue", "rose", "fell", "to", "12,5", "crore", "in", "margin", "of", "the", "unité"]
+    seen = set()
+    for k in range(120):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 90)))
+        start = rnd.randrange(len(text))
+        quote = altered(rnd, text[start : start + rnd.randrange(1, 90)], rnd.choice([0.0, 0.05, 0.15, 0.3, 0.6]))
+        want = brute_partial(quote, text)
+        assert abs(best_partial_ratio(quote, text) - want) < 1e-9
+        for cutoff in (60.0, 85.0, 97.0):
+            got = best_partial_ratio(quote, text, cutoff)
+            assert abs(got - want) < 1e-9 if want >= cutoff else got == 0.0
+        seen.add(want >= 85)
+    assert seen == {True, False}
 
 
 def test_quote_confidence(values):

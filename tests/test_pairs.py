@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from factweave.operators import pairs, reconcile, relations, tieouts
+from factweave.operators import counting, pairs, reconcile, relations, tieouts
 from factweave.plans.analysis import reconcile_audit, reconcile_document
 
 KEYS = ["entity_canon", "attribute_canon"]
@@ -53,10 +54,50 @@ def test_counts_without_listing_equal_listed_counts(make_facts):
     facts = random_facts(make_facts, 150)
     listed = reconcile.apply_rules(pairs.pair_up(facts, KEYS), with_text=False, explain=False)
     expected = {r["relation"]: r["count"] for r in listed.groupBy("relation").count().collect()}
-    counted = {r["relation"]: r["n_pairs"] for r in reconcile.relation_counts(facts).collect()}
+    counted = {r["relation"]: r["n_pairs"] for r in counting.relation_counts(facts).collect()}
     assert counted == expected
 
 
+def test_counts_per_group_with_texts_and_odd_numbers(make_facts):
+    rnd = random.Random(8)
+    kinds = [("pct", None), ("count", None), (None, None), ("currency", "USD"), ("currency", "INR"), (None, "USD"), ("currency", "XXX")]
+    facts = make_facts(*[
+        {
+            **dict(zip(("norm_unit", "currency"), rnd.choice(kinds))),
+            "entity_canon": rnd.choice(["hot", "hot", "x"]), "norm_value": rnd.choice([None, 0.0, -0.0, 99.0, 100.0, 101.0, -99.0, -100.0, 1.0, 0.99, float("nan"), float("inf")]),
+            "period": rnd.choice(["FY2020", "fy2020 ", None]),
+            "raw_value": rnd.choice(["he resigned", "he continues", "resigned and continues", "he resigned"]), "confidence": rnd.choice([0.9, 0.0, 0.4]),
+        } for _ in range(160)], *[{"entity_canon": "tiny", "norm_value": v} for v in (0.0, 1e-12, 1e-11, 1e-10, 1e-9, 1.005e-9, 2e-9)])
+    listed = reconcile.apply_rules(pairs.pair_up(facts, KEYS), explain=False)
+    expected = {(r["entity_canon"], r["relation"]): r["count"] for r in listed.groupBy("entity_canon", "relation").count().collect()}
+    counted = {(r["entity_canon"], r["relation"]): r["n_pairs"] for r in counting.relation_counts(facts, ["entity_canon"]).collect()}
+    assert counted == expected
+    ledger = reconcile.relation_ledger(facts).groupBy("entity_canon", "relation").agg(F.sum("n_pairs").alias("n")).collect()
+    assert {(r["entity_canon"], r["relation"]): r["n"] for r in ledger} == expected
+
+
+def test_a_hot_period_is_counted_without_pairs(spark, make_facts):
+    n = 50_000
+    one = make_facts({})
+    facts = spark.range(n).join(one.drop("fact_id", "norm_value")).select(
+        F.format_string("f%05d", "id").alias("fact_id"), (F.lit(1000.0) + F.col("id") * 0.37).alias("norm_value"), *[c for c in one.columns if c not in ("fact_id", "norm_value")])
+    values = 1000.0 + np.arange(n) * 0.37
+    within = 0
+    for i, high in enumerate(np.searchsorted(values, values / 0.99 + 1e-7, "right")):
+        while (values[high - 1] - values[i]) / values[high - 1] > 0.01:
+            high -= 1
+        within += int(high) - i - 1
+    got = counting.relation_counts(facts)
+    assert {r["relation"]: r["n_pairs"] for r in got.collect()} == {"corroborates": within, "contradicts": n * (n - 1) // 2 - within}
+
+
+def test_prefix_sums_over_ranges(spark):
+    rows = [("a", i % 50, 1 + i % 3) for i in range(2000)] + [("b", 3, 7)]
+    df = spark.createDataFrame(rows, "k string, at int, w bigint")
+    want = {(k, at): sum(w for kk, a, w in rows if kk == k and a <= at) for k, at, _ in rows}
+    assert {((r.k, r.at), r.total) for r in counting.prefix_sums(df, ["k"], ["at"], "w", "total").collect()} == set(want.items())
+
+
 def test_reconciling_twice_adds_nothing(make_facts):
     facts = random_facts(make_facts, 40)
     first = reconcile_document(facts, None, with_text=False)

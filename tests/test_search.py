@@ -92,6 +92,19 @@ def test_similar_names_against_brute_force(spark):
         assert own == {(a, b) for a, b in expected if a < b}
 
 
+def test_a_common_word_makes_no_candidates(spark):
+    rnd, counts = random.Random(2), {}
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(20_000)]
+    for n in (500, 5000, 20_000):
+        names = [f"maker {w}" for w in words[: n - n // 50]] + [f"maker {w[:4]}x{w[4:]}" for w in words[: n // 50]]
+        df = spark.createDataFrame([(x,) for x in names], "name string")
+        counts[n] = entities.name_candidates(df).count()
+        if n == 500:
+            want = {(a, b) for a in names for b in names if a < b and _sorted_ratio(a, b) > 92.0}
+            assert {(r["left_name"], r["right_name"]) for r in entities.similar_names(df).collect()} == want and len(want) == 10
+    assert all(counts[n] < 2 * n for n in counts), counts  # of 200 million pairs
+
+
 def one_by_one(names):
     leaders, expected = [], {}
     for name in names:
@@ -148,3 +161,31 @@ def test_text_filter_and_sorting(spark):
 def test_history_tail(spark):
     df = spark.createDataFrame([("c", i, "user", f"m{i}") for i in range(6)], "conv_id string, turn int, role string, text string")
     assert [r["line"] for r in retrieval.history_tail(df).orderBy("turn").collect()] == ["user: m2", "user: m3", "user: m4", "user: m5"]
+
+
+def clustered(spark, n, centres, dims=24, spread=0.02, seed=5):
+    rnd = np.random.default_rng(seed)
+    middle = rnd.normal(size=(centres, dims))
+    vectors = middle[rnd.integers(0, centres, n)] + spread * rnd.normal(size=(n, dims)) * np.linalg.norm(middle, axis=1).mean()
+    return vectors, spark.createDataFrame([(f"f{i:05d}", v.tolist()) for i, v in enumerate(vectors)], "fact_id string, embedding array<double>")
+
+
+def test_semantic_sweep_at_the_reference_threshold(spark):
+    vectors, df = clustered(spark, 3000, 40)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = np.triu(unit @ unit.T > 0.86, 1)
+    want = {(f"f{i:05d}", f"f{j:05d}") for i, j in zip(*np.nonzero(close))}
+    got = [(r.a_id, r.b_id) for r in semantic.similar_pairs(df, 0.86, block=64).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50_000
+    shipped = semantic.block_pairs(df, 0.86, "fact_id", "embedding", semantic.PIVOTS, 64).groupBy("cell", "kind", "i", "j").agg(
+        F.sum(F.when((F.col("kind") == "nv") & ~F.col("native"), 1).otherwise(0)).alias("v"), F.count("*").alias("n")).collect()
+    products = sum((r.n - r.v) * r.v if r.kind == "nv" else r.n * r.n if r.i == r.j else r.n * r.n // 4 for r in shipped)
+    assert products < 3000 * 3000 / 2 / 3  # all pairs of blocks would be 4.5 million products
+
+
+def test_semantic_join_across_two_tables(spark):
+    vectors, df = clustered(spark, 400, 8)
+    left, right = df.filter("fact_id < 'f00200'"), df.filter("fact_id >= 'f00200'").withColumnRenamed("fact_id", "name")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(f"f{i:05d}", f"f{j:05d}") for i, j in zip(*np.nonzero(unit @ unit.T > 0.86)) if i < 200 <= j}
+    assert {(r.a_id, r.b_id) for r in semantic.similar_across(left, right, 0.86, "fact_id", "name", block=50).collect()} == want
