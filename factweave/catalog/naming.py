@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.functions import names, text
+from factweave.functions import names, numbers, text
 from factweave.functions.numbers import with_number
 from factweave.functions.periods import normalized_period
 from factweave.operators import entities, pairs, reconcile
@@ -284,6 +284,21 @@ UNION ALL SELECT chunk_id, 'Net debt', '(' || q || ') cr', 'FY2023', 'Net debt s
 """
 
 
+def safe_decimals(spark, folder):
+    p = read_table(spark, folder, "part")
+    price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    stated = F.when(F.col("p_size") % 5 == 0, F.lit("n/a")).when(F.col("p_size") % 5 == 1, F.concat(F.lit("-"), price)).when(
+        F.col("p_size") % 5 == 2, F.lit("")).when(F.col("p_size") % 5 == 3, F.concat(F.lit("12"), price)).otherwise(F.lit(None).cast("string"))
+    return p.select("p_partkey", numbers.safe_decimal(stated).cast("double").alias("value"))
+
+
+QUERIES["safe_decimals"] = safe_decimals
+ORACLES["safe_decimals"] = """
+SELECT p_partkey, CAST(TRY_CAST(CASE p_size % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN '-' || CAST(p_retailprice AS DECIMAL(18,2)) WHEN 2 THEN ''
+  WHEN 3 THEN '12' || CAST(p_retailprice AS DECIMAL(18,2)) END AS DECIMAL(38,10)) AS DOUBLE) AS value FROM part
+"""
+
+
 def quote_check(spark, folder):
     """A quote of 40 to 160 letters from anywhere in each text: as it stands, with every twentieth
     letter changed, or with every other letter changed (never found), by doc_id."""

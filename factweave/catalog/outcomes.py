@@ -468,6 +468,51 @@ FROM nation n FULL OUTER JOIN lastrow r ON r.name = n.n_name LEFT JOIN lastlegal
 """
 
 
+def dimension_upsert_table(spark, folder):
+    """The upsert into a keyed table: only the folders of the batch's keys are rewritten."""
+    stored, incoming = _dimension(spark, folder)
+    table = sinks.KeyedTable(spark, session.new_path(spark, "dimension"), "canonical_name")
+    table.write(stored)
+    table.upsert(incoming, "seq", keep_old=["legal_name"], overwrite=["period_type"])
+    return table.read()
+
+
+QUERIES["dimension_upsert_table"] = dimension_upsert_table
+ORACLES["dimension_upsert_table"] = ORACLES["dimension_upsert"]
+
+#: the request of `fact_lookup`
+ASKED_FACTS = [f"{p}|{c}|{y}|total_revenue" for p in ("1-URGENT", "3-MEDIUM", "5-LOW") for c in (1, 4, 7, 22) for y in (1993, 1995, 1997)]
+
+
+def fact_lookup(spark, folder):
+    """Facts by id, from a keyed table of all facts."""
+    table = sinks.KeyedTable(spark, session.new_path(spark, "facts-by-id"), "fact_id")
+    table.write(facts_of.order_facts(spark, folder).select("fact_id", "entity_canon", "norm_value", "period"))
+    return table.lookup(*ASKED_FACTS)
+
+
+QUERIES["fact_lookup"] = fact_lookup
+ORACLES["fact_lookup"] = f"""
+WITH {views.ORDER_FACTS}
+SELECT fact_id, entity_canon, norm_value, period FROM facts WHERE fact_id IN ({", ".join(f"'{i}'" for i in ASKED_FACTS)})
+"""
+
+
+def compatibility_views(spark, folder):
+    """Pages and chunks under their older names, read by SQL."""
+    o = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("document_id"),
+                                                   (F.col("o_custkey") % 50 + 1).cast("int").alias("page_number"), F.col("o_comment").alias("text"))
+    sinks.compatibility_views(o.withColumn("route", F.lit("text")), o.withColumn("chunk_type", F.lit("paragraph")), "older_")
+    return spark.sql("SELECT c.id, c.document_id, c.page, c.chunk_type, sha2(c.text, 256) AS text_sha, p.route FROM older_chunks c JOIN older_pages p ON p.id = c.id")
+
+
+QUERIES["compatibility_views"] = compatibility_views
+ORACLES["compatibility_views"] = """
+SELECT o_orderkey AS id, o_orderpriority AS document_id, CAST(o_custkey % 50 + 1 AS INTEGER) AS page, 'paragraph' AS chunk_type, sha256(o_comment) AS text_sha, 'text' AS route
+FROM orders
+"""
+
+
 def insert_if_absent(spark, folder):
     stored, incoming = _dimension(spark, folder)
     return sinks.insert_absent(stored, incoming, ["canonical_name"], "seq")

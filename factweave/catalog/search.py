@@ -63,6 +63,10 @@ WHERE o_orderpriority = '2-HIGH' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50
 """
 
 
+#: query vectors of one request
+MOST_ASKED = 1000
+
+
 def _exemplars(spark, folder):
     """The request: the first vector of each of the ten labels."""
     e = read_table(spark, folder, "embeddings")
@@ -70,7 +74,10 @@ def _exemplars(spark, folder):
 
 
 def vector_topk(spark, folder):
-    asked = {str(r["label"]): [float(x) for x in r["embedding"]] for r in _exemplars(spark, folder).collect()}  # a request: one vector a label
+    first = _exemplars(spark, folder).limit(MOST_ASKED + 1).collect()  # a request: one vector a label
+    if len(first) > MOST_ASKED:
+        raise ValueError(f"a request holds {MOST_ASKED} vectors at most")
+    asked = {str(r["label"]): [float(x) for x in r["embedding"]] for r in first}
     rows = retrieval.vector_top_k(read_table(spark, folder, "embeddings"), asked, 5, "vec_id")
     return rows.select("query", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
@@ -180,20 +187,6 @@ SELECT fact_id, trim(entity_canon || ' ' || attribute_canon || ' ' || raw_value
 """
 
 
-def citations(spark, folder):
-    c = read_table(spark, folder, "conversations")
-    answers = c.filter(F.col("turn") == 0).select("conv_id", F.concat(F.lit("Total [2] and [F1], again [2], unknown [77] — "), "text", F.lit(" [4]")).alias("answer"))
-    context = c.select("conv_id", (F.col("turn") + 1).alias("number"), F.col("role").alias("quote"))
-    return retrieval.citations(answers, context, "conv_id", "answer").select("conv_id", "number", "quote")
-
-
-QUERIES["citations"] = citations
-ORACLES["citations"] = """
-SELECT DISTINCT c.conv_id, c.turn + 1 AS number, c.role AS quote FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = 0
-WHERE c.turn + 1 IN (1, 2, 4) OR contains(a.text, '[' || (c.turn + 1) || ']') OR contains(a.text, '[F' || (c.turn + 1) || ']')
-"""
-
-
 def citations_of_turns(spark, folder):
     """Every turn as an answer, keyed by (conv_id, turn), over the context of its conversation."""
     c = read_table(spark, folder, "conversations")
@@ -209,6 +202,18 @@ WHERE c.turn + 1 IN (1, 2, 4) OR contains(a.text, '[' || (c.turn + 1) || ']') OR
 """
 
 
+def citations(spark, folder):
+    """All that the turns of a conversation cite of it."""
+    return citations_of_turns(spark, folder).select("conv_id", "number", "quote").distinct()
+
+
+QUERIES["citations"] = citations
+ORACLES["citations"] = """
+SELECT DISTINCT c.conv_id, c.turn + 1 AS number, c.role AS quote FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id
+WHERE c.turn + 1 IN (1, 2, 4) OR contains(a.text, '[' || (c.turn + 1) || ']') OR contains(a.text, '[F' || (c.turn + 1) || ']')
+"""
+
+
 def _answers(spark, folder):
     c = read_table(spark, folder, "conversations")
     return c.select(

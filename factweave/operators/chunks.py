@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave import fixed_values as V
 from factweave.functions.numbers import strip
@@ -11,39 +15,51 @@ from factweave.operators.ordered import first_rows, positions
 SHELF = 10_000  # consecutive chunks numbered in one task
 
 
-def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+_HEADING = re.compile(r"#{1,6}\s+")
+_BLOCK = "reading_order int, chunk_type string, text string, heading string"
+
+
+def blocks_of(markdown: str) -> list[tuple[int, str, str, str | None]]:
+    """(order, type, text, heading above) of the headings, tables and text runs of one text."""
+    found: list[tuple[str, str | None, list[str]]] = []
+    before, last, heading = "", None, None
+    for line in markdown.split("\n"):
+        trimmed = line.strip()
+        mark = _HEADING.match(trimmed)
+        if mark:
+            run, heading = "heading", trimmed[mark.end():].strip()
+        elif trimmed.startswith("|") and trimmed.endswith("|"):
+            run = "table"
+        elif trimmed:
+            run = "text"
+        else:  # a blank line belongs to the run before it, but not to a heading
+            run = "table" if last == "table" else "text"
+        if trimmed:
+            last = run
+        if mark or run != before:
+            found.append((run, heading, []))
+        found[-1][2].append(line)
+        before = run
+    kept = [(run, "\n".join(own).strip(), above) for run, above, own in found]
+    kept = [k for k in kept if k[1]]
+    return [(n, "ocr_block" if run == "text" else run, text, above) for n, (run, text, above) in enumerate(kept, 1)]
 
 
 def markdown_blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Headings, tables and text runs of markdown, in order, with the heading above them.
 
-    Windows run per document, whose size is that of one row of the input.
+    One pass over each text where it lies: nothing is shuffled. A null text has no blocks.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
-    trimmed = strip(F.col("line"))
-    heading, table = F.col("trimmed").rlike(r"^#{1,6}(?U:\s)+|^#{1,6}$") & F.col("trimmed").rlike(r"^#{1,6}(?U:\s)"), (
-        F.col("trimmed").startswith("|") & F.col("trimmed").endswith("|"))
-    kinds = lines(documents, key, text).withColumn("trimmed", trimmed).withColumn(
-        "kind", F.when(heading, "heading").when(table, "table").when(F.col("trimmed") == "", "blank").otherwise("text"))
-    # a blank line belongs to the run before it
-    run_kind = F.last(F.when(F.col("kind") != "blank", F.col("kind")), True).over(w)
-    marked = kinds.withColumn("run", F.when(F.col("kind") == "blank", F.coalesce(run_kind, F.lit("text"))).otherwise(F.col("kind")))
-    marked = marked.withColumn("run", F.when((F.col("kind") == "blank") & (F.col("run") == "heading"), "text").otherwise(F.col("run")))
-    start = (F.col("kind") == "heading") | (F.col("run") != F.coalesce(F.lag("run").over(w), F.lit("")))
-    numbered = marked.withColumn("start", start.cast("int")).withColumns(
-        {
-            "block": F.sum("start").over(w),
-            "heading": F.last(F.when(F.col("kind") == "heading", strip(F.regexp_replace("trimmed", r"^#{1,6}(?U:\s)+", ""))), True).over(w),
-        }
-    )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    blocks = numbered.groupBy(key, "block", "run").agg(body.alias("raw"), F.first("heading").alias("heading")).withColumn("text", strip(F.col("raw")))
-    kept = blocks.filter(F.col("text") != "")
-    order = F.row_number().over(Window.partitionBy(key).orderBy("block"))
-    return kept.select(
-        key, order.alias("reading_order"), F.when(F.col("run") == "text", "ocr_block").otherwise(F.col("run")).alias("chunk_type"),
-        "text", "heading")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *block) for i, t in enumerate(batch.column(1).to_pylist()) if t is not None for block in blocks_of(t)]
+            column = lambda k, kind: pa.array([r[k] for r in rows], kind)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(column(0, pa.int64())), column(1, pa.int32()), column(2, pa.string()), column(3, pa.string()), column(4, pa.string())],
+                names=[key, "reading_order", "chunk_type", "text", "heading"])
+
+    rows = documents.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {_BLOCK}")
 
 
 def transcribed_pages(pages: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -119,11 +119,14 @@ def _worded(sure: DataFrame) -> DataFrame:
     """Counts over pairs of which one side has no number: (*BY, relation, n_pairs)."""
     texts = sure.filter(F.col("norm_value").isNull())
     numbers = sure.filter(F.col("norm_value").isNotNull()).join(texts.select(*BY).distinct(), BY, "left_semi")
-    dated, undated = (lambda df: df.filter("period_key <> ''")), (lambda df: df.filter("period_key = ''"))
-    met = pair_up(texts, [*BY, "period_key"], with_self=True).drop("period_key")
-    met = met.unionByName(pair_across(texts, numbers, [*BY, "period_key"]).drop("period_key"))
-    for left, right in ((undated(texts), dated(texts)), (undated(texts), dated(numbers)), (dated(texts), undated(numbers))):
-        met = met.unionByName(pair_across(left, right, BY).drop("a_period_key", "b_period_key"))
+    # where two rows meet: in their period, or as an undated one with dated ones
+    period, dated = F.concat(F.lit("="), F.col("period_key")), F.col("period_key") != ""
+    at = lambda df, *places: df.withColumn("meet", F.explode(F.array_compact(F.array(*places)))).drop("period_key")
+    undated_first, dated_first = F.lit("undated, dated"), F.lit("dated, undated")
+    left = at(texts, period, F.when(dated, dated_first).otherwise(undated_first))
+    right = at(numbers, period, F.when(dated, undated_first).otherwise(dated_first)).unionByName(at(texts.filter(dated), undated_first))
+    same = pair_up(texts, [*BY, "period_key"], with_self=True).drop("period_key")
+    met = same.unionByName(pair_across(left, right, [*BY, "meet"]).drop("meet"))
     a, b = _whole(F.col("a_members")), _whole(F.col("b_members"))
     weight = F.when(F.col("a_fact_id") == F.col("b_fact_id"), _choose2(a)).otherwise(a * b).cast("decimal(38,0)")
     return apply_rules(met, explain=False).select(*BY, "relation", weight.alias("n_pairs"))

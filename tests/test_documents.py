@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from factweave.operators import chunks, evidence, layout, lineage
@@ -157,3 +159,36 @@ def test_upserts_and_csv(spark):
     log = new_path(spark, "audit")
     sinks.append_audit(sinks.audit_rows(stored, "k.seen", F.struct("k"), F.struct("kind")), log)
     assert spark.read.parquet(log).filter("action = 'k.seen'").count() == 2
+
+
+def test_markdown_is_split_where_it_lies(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "# \n#\n|a|\n\n|b|\n\ntext\n \n## H  x \n\nafter"), (3, "same key")], "id int, body string")
+    rows = chunks.markdown_blocks(df, "id", "body")
+    assert "Exchange" not in rows._jdf.queryExecution().toString()
+    assert [tuple(r)[1:] for r in rows.filter("text <> 'same key'").collect()] == [
+        (1, "ocr_block", "# \n#", None), (2, "table", "|a|\n\n|b|", None), (3, "ocr_block", "text", None), (4, "heading", "## H  x", "H  x"), (5, "ocr_block", "after", "H  x")]
+
+
+def test_keyed_table_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    path = f"{tmp_path}/names"
+    table = sinks.KeyedTable(spark, f"file://{path}", "name", 8)
+    table.write(spark.range(4000).selectExpr("concat('n', id) as name", "cast(id as string) as legal", "'old' as kind"))
+    files = lambda: {f"{f.parent.name}/{f.name}" for f in Path(path).rglob("*.parquet")}
+    before = files()
+    incoming = spark.createDataFrame([("n7", None, "new", 1), ("fresh", "F", "new", 2), ("n7", "seven", None, 3)], "name string, legal string, kind string, seq int")
+    table.upsert(incoming, "seq", keep_old=["legal"], overwrite=["kind"])
+    kept = before & files()
+    assert len(before) == 8 and 6 <= len(kept) < 8
+    assert table.read().count() == 4001
+    assert sorted(map(tuple, table.lookup("n7", "fresh", "n8", "gone").collect())) == [("fresh", "F", "new"), ("n7", "seven", None), ("n8", "8", "old")]
+
+
+def test_a_lookup_does_not_scan(spark, tmp_path):
+    table = sinks.KeyedTable(spark, f"file://{tmp_path}/facts", "fact_id", 4)
+    table.write(spark.range(60_000).selectExpr("concat('f', id) as fact_id", "id as value"))
+    found = table.lookup("f77")
+    assert [r.value for r in found.collect()] == [77]
+    scan = found._jdf.queryExecution().executedPlan()
+    while not scan.metrics().contains("filesSize"):
+        scan = scan.children().apply(0)
+    assert scan.metrics().apply("numFiles").value() == 1 and scan.metrics().apply("numOutputRows").value() <= 2 * sinks.PAGE_ROWS
