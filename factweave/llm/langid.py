@@ -29,6 +29,7 @@ from factweave.llm.common import STEP_CHARS, bound_batches, steps
 
 DIMENSIONS = 4096
 SAMPLE_ROWS = 2400
+#: languages that are learned; beyond, those of the most labelled rows
 MAX_LANGUAGES = 400
 CENTROIDS = 3
 #: a text is rejected below this part of the cosine that 99 of 100 training texts reach
@@ -39,7 +40,7 @@ REJECT_PART = 0.5
 def _letters() -> np.ndarray:
     """For every code point its lower case if that is one letter, else a space."""
     table = np.full(0x110000, 32, np.uint32)
-    for start, end in ((0, 0xD800), (0xE000, 0x30000)):
+    for start, end in ((0, 0xD800), (0xE000, 0x34000)):
         for code in range(start, end):
             c = chr(code)
             if c.isalpha():
@@ -112,9 +113,8 @@ def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample_rows: i
     """Learns the centroids from rows whose lang is not null."""
     bound_batches(rows.sparkSession)
     labelled = rows.select(key.alias("key"), text.alias("text"), lang.alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages among the labelled rows")
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return Centroids([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
     each = max(1, sample_rows // len(sizes))
@@ -126,7 +126,7 @@ def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample_rows: i
             made = [(lang, f) for lang, f in zip(batch.column(0).to_pylist(), map(features, texts)) if f is not None]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())], names=["lang", "vector"])
 
-    sampled = labelled.filter(chance < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, vector binary")
+    sampled = labelled.filter(chance < F.try_element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(run, "lang string, vector binary")
     got = sorted((r["lang"], bytes(r["vector"])) for r in sampled.collect())  # about sample_rows vectors
     if not got:
         return Centroids([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))

@@ -64,9 +64,9 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, scale: f
     return joined.select("source", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, scale: float = 1.0, seed: int = SEED,
-        copy: str = "copy_no", order: str = "shuffle_key") -> DataFrame:
-    """The mixture in shuffled order, with the number of the copy (from 0) and the key of the order."""
+def mixed_records(docs: DataFrame, weights: DataFrame | None = None, scale: float = 1.0, seed: int = SEED) -> DataFrame:
+    """(m_record, m_copy, m_key) of the mixture in shuffled order: a document as a struct of its
+    columns, whatever their names, the number of the copy (from 0) and the key of the order."""
     rates = repetition_rates(docs, weights, scale)
     # written, so that Spark knows the size of this side before it picks the join
     steps = write_through(rates.select(F.col("source").alias("m_source"), poisson_steps(F.col("rate")).alias("m_steps")), "repetition-steps")
@@ -76,5 +76,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, scale: float = 1.0, s
     u = uniform(F.lit(seed), doc_id)
     count = F.size(F.filter("m_steps", lambda s: s <= u))
     repeated = joined.select("m_record", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))).alias("m_copy"))
-    key = uniform(F.lit(seed), doc_id, F.col("m_copy"))
-    return repeated.select("m_record.*", F.col("m_copy").alias(copy), key.alias(order)).orderBy(order, "doc_id", copy)
+    return repeated.select("m_record", "m_copy", uniform(F.lit(seed), doc_id, F.col("m_copy")).alias("m_key")).orderBy("m_key", doc_id, "m_copy")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, scale: float = 1.0, seed: int = SEED,
+        copy: str = "copy_no", order: str = "shuffle_key") -> DataFrame:
+    """The mixture in shuffled order, with the number of the copy and the key of the order; a
+    column of `docs` that has the name of one of these gives way to it."""
+    kept = [F.col("m_record")[c].alias(c) for c in docs.columns if c.lower() not in (copy.lower(), order.lower())]
+    return mixed_records(docs, weights, scale, seed).select(*kept, F.col("m_copy").alias(copy), F.col("m_key").alias(order))

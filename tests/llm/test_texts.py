@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factweave.llm import chat, html_text, langid, mixing, packing, suffix_tree, syncmers, tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -168,6 +169,17 @@ def test_mixture_follows_inverse_poisson(spark, make_docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_with_clashing_names(spark, make_docs):
+    rows = [(i, f"text {i}", "en", f"s{i % 2}") for i in range(40)]
+    plain, docs = make_docs(rows), make_docs(rows, ["copy_no", "shuffle_key", "m_record", "w_source"])
+    want = sorted(map(tuple, mixing.mix(plain).select("doc_id", "copy_no", "shuffle_key").collect()))
+    got = mixing.mix(docs)
+    assert got.columns == [*plain.columns, "m_record", "w_source", "copy_no", "shuffle_key"]
+    assert sorted(map(tuple, got.select("doc_id", "copy_no", "shuffle_key").collect())) == want
+    staged = corpus_pipeline.mix_sources(spark, docs, "")
+    assert staged.columns == docs.columns and sorted(r.doc_id for r in staged.collect()) == sorted(w[0] for w in want)
+
+
 def test_encoder_equals_the_tokenizer(prose):
     texts = ["", " ", "a  b", "a\n b", "x \n\n y ", "it's  ", "<|endoftext|> a <|endoftext|>", "tab\t x", "é 日本 🙂", " lead", "a  b", "a  b", prose(1, 300), "\n\nTo 12 3,4"]
     rnd = random.Random(3)
