@@ -500,16 +500,16 @@ SELECT fact_id, entity_canon, norm_value, period FROM facts WHERE fact_id IN ({"
 
 def compatibility_views(spark, folder):
     """Pages and chunks under their older names, read by SQL."""
-    o = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("document_id"),
-                                                   (F.col("o_custkey") % 50 + 1).cast("int").alias("page_number"), F.col("o_comment").alias("text"))
-    sinks.compatibility_views(o.withColumn("route", F.lit("text")), o.withColumn("chunk_type", F.lit("paragraph")), "older_")
+    d = read_table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("document_id"), (F.col("doc_id") % 9 + 1).cast("int").alias("page_number"), "text")
+    sinks.compatibility_views(d.withColumn("route", F.lit("text")), d.withColumn("chunk_type", F.lit("paragraph")), "older_")
     return spark.sql("SELECT c.id, c.document_id, c.page, c.chunk_type, sha2(c.text, 256) AS text_sha, p.route FROM older_chunks c JOIN older_pages p ON p.id = c.id")
 
 
 QUERIES["compatibility_views"] = compatibility_views
 ORACLES["compatibility_views"] = """
-SELECT o_orderkey AS id, o_orderpriority AS document_id, CAST(o_custkey % 50 + 1 AS INTEGER) AS page, 'paragraph' AS chunk_type, sha256(o_comment) AS text_sha, 'text' AS route
-FROM orders
+SELECT doc_id AS id, source AS document_id, CAST(doc_id % 9 + 1 AS INTEGER) AS page, 'paragraph' AS chunk_type, sha256(text) AS text_sha, 'text' AS route
+FROM documents
 """
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave import fixed_values as V
 from factweave.functions.numbers import relative_delta
-from factweave.operators.pairs import pair_across, pair_up
+from factweave.operators.pairs import pair_across
 from factweave.operators.reconcile import apply_rules, claims, clean, sides
 from factweave.session import write_through
 
@@ -69,21 +69,30 @@ def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], value: str,
         out, F.col("_inside") + F.col("_shift")).drop("_inside", "_shift", "_part")
 
 
+def _period() -> Column:
+    return F.concat(F.lit("="), F.col("period_key"))
+
+
+def _meeting(rows: DataFrame, *places: Column) -> DataFrame:
+    """Rows at each of the places (null: none) where they meet others."""
+    return rows.withColumn("meet", F.explode(F.array_compact(F.array(*places)))).drop("period_key")
+
+
 def _numeric(sure: DataFrame) -> DataFrame:
     """Counts over pairs of numbers with compatible periods: (*BY, relation, n_pairs)."""
     value = F.col("norm_value").cast("double")
     fraction = value.between(0.0, 1.0)
     named = F.md5(F.concat_ws("\x01", *BY, "period_key", F.lower(clean(F.col("scope"))), F.upper(clean(F.col("currency"))),
                               F.lower(clean(F.col("norm_unit"))), fraction.cast("string")))
-    numbers = write_through(sure.filter(F.col("norm_value").isNotNull()).withColumn("class", named), "number-claims")
+    numbers = sure.filter(F.col("norm_value").isNotNull()).withColumn("class", named)
     match_self = F.when(F.abs(value) <= _FINITE, F.col("members")).otherwise(0)
     shown = ["scope", "currency", "norm_unit", "norm_value"]
     classes = numbers.groupBy(*BY, "period_key", "class").agg(
         *[F.first(c).alias(c) for c in shown], F.sum("members").alias("n"), F.sum(match_self).alias("n_self"))
     classes = write_through(classes.withColumn("confidence", F.lit(1.0)), "number-classes")
-    same = pair_up(classes, [*BY, "period_key"], id_column="class", with_self=True).drop("period_key")
-    mixed = pair_across(classes.filter("period_key = ''"), classes.filter("period_key <> ''"), BY).drop("a_period_key", "b_period_key")
-    p = sides(same.unionByName(mixed))
+    undated = F.col("period_key") == ""
+    left, right = _meeting(classes, _period(), F.when(undated, "undated")), _meeting(classes, _period(), F.when(~undated, "undated"))
+    p = sides(pair_across(left, right, [*BY, "meet"]).filter((F.col("meet") == "undated") | (F.col("a_class") <= F.col("b_class"))).drop("meet"))
     met = write_through(p.select(
         *BY, "a_class", "b_class", "_context", (F.col("a_class") == F.col("b_class")).alias("one"), "a_n", "b_n", "a_n_self",
         F.when(F.col("_af"), F.lit(100.0)).otherwise(F.lit(1.0)).alias("fa"),
@@ -119,14 +128,12 @@ def _worded(sure: DataFrame) -> DataFrame:
     """Counts over pairs of which one side has no number: (*BY, relation, n_pairs)."""
     texts = sure.filter(F.col("norm_value").isNull())
     numbers = sure.filter(F.col("norm_value").isNotNull()).join(texts.select(*BY).distinct(), BY, "left_semi")
-    # where two rows meet: in their period, or as an undated one with dated ones
-    period, dated = F.concat(F.lit("="), F.col("period_key")), F.col("period_key") != ""
-    at = lambda df, *places: df.withColumn("meet", F.explode(F.array_compact(F.array(*places)))).drop("period_key")
-    undated_first, dated_first = F.lit("undated, dated"), F.lit("dated, undated")
-    left = at(texts, period, F.when(dated, dated_first).otherwise(undated_first))
-    right = at(numbers, period, F.when(dated, undated_first).otherwise(dated_first)).unionByName(at(texts.filter(dated), undated_first))
-    same = pair_up(texts, [*BY, "period_key"], with_self=True).drop("period_key")
-    met = same.unionByName(pair_across(left, right, [*BY, "meet"]).drop("meet"))
+    undated, is_text = F.col("period_key") == "", F.col("norm_value").isNull()
+    # a text meets all of its period; an undated text meets all dated rows, an undated number dated texts
+    left = _meeting(texts, _period(), F.when(undated, "undated text")).unionByName(_meeting(numbers, F.when(undated, "undated number")))
+    right = _meeting(texts.unionByName(numbers), _period(), F.when(~undated, "undated text"), F.when(~undated & is_text, "undated number"))
+    once = ~F.col("meet").startswith("=") | F.col("b_norm_value").isNotNull() | (F.col("a_fact_id") <= F.col("b_fact_id"))
+    met = pair_across(left, right, [*BY, "meet"]).filter(once).drop("meet")
     a, b = _whole(F.col("a_members")), _whole(F.col("b_members"))
     weight = F.when(F.col("a_fact_id") == F.col("b_fact_id"), _choose2(a)).otherwise(a * b).cast("decimal(38,0)")
     return apply_rules(met, explain=False).select(*BY, "relation", weight.alias("n_pairs"))
