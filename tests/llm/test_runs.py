@@ -207,7 +207,7 @@ def manifest_rows(n):
     return rows + [(None, None, None, None, None), (None, "x", "en", "s", 1), (4, "again", "en", "s", 1), (4, "again", "en", "s", 1), (5, "", "only", "", 0), (2**62, "y" * 100_000, "en", "s", 2**62)]
 
 
-@pytest.mark.parametrize("levels", [12, 2])
+@pytest.mark.parametrize("levels", [12, 3])
 def test_manifest_equals_brute_force(spark, levels):
     rows = manifest_rows(150)
     docs = spark.createDataFrame([(a, t, g, s, c) for a, t, g, s, c in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
