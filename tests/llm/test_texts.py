@@ -45,6 +45,46 @@ def test_best_region_is_the_largest_sum():
         assert sum(score[a:b]) == max([0, *(sum(score[i:j]) for i in range(14) for j in range(i + 1, 15))])
 
 
+BESIDE = """<body><nav><a href="/">Home</a></nav><div class="menu"><ul><li><a>Menu one</a></li></ul></div>%s<footer>x y z</footer></body>"""
+
+
+def test_names_leave_out_only_what_structure_confirms():
+    def text(article):
+        return html_text.main_text(BESIDE % article, html_text.Weights({"p@in": 5.0, "h1@in": 5.0, "*@in": 4.0}, {"*@in": -0.05, "*/border": -6.0, "*@out": -6.0}))
+
+    assert text('<article><h2 id="data-privacy">Data privacy</h2><p>Text on it.</p><section id="related-work"><h2>Related work</h2><p>Others did this.</p></section></article>') == (
+        "Data privacy\nText on it.\nRelated work\nOthers did this.")
+    assert text('<article id="social-networks"><h1>On networks</h1><p>People meet there.</p></article>') == "On networks\nPeople meet there."
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>5</mn></math> be five.</p></article>") == "Let x=5 be five."
+    assert text('<article><h1><a href="/t">Linked title</a></h1><p><a>Foo</a> is a thing.</p><ul><li>one item</li></ul>'
+                '<div class="related-reading"><a>More one</a></div><div id="subscribe-now-please">Mail <input> ok</div><div class="related-posts">Also see this</div></article>') == (
+        "Linked title\nFoo is a thing.\none item")
+    nested = "<div class='related-reading'>" * 3000 + "<a>x y</a>" + "</div>" * 3000
+    assert text("<article><p>Body text here.</p>" + nested + "<p>More body text.</p></article>") == "Body text here.\nMore body text."
+
+
+def test_learned_weights_decide_on_every_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("html is not null")
+    weights = html_text.learn(pages.where("page_id % 5 > 0"), F.col("html"))
+    assert weights.word["p@in"] > 1 > weights.word["li/link"] and weights.tag["article/border"] < -1
+    held_out = pages.where("page_id % 5 = 0")
+    own = {r.page_id: r.text for r in html_text.extract(held_out, weights).collect()}
+    # the same pages without any element, class or id that names a part
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(article|main|nav|footer|aside|header)\\b[^>]*>", "<$1div>"), "<div [^>]*>", "<div>")
+    plain = held_out.select("page_id", "url", bare.alias("html"))
+    found = {r.page_id: r.text for r in html_text.extract(plain, weights).collect()}
+    assert len(own) >= 5 and sum(found[i] == own[i] for i in own) >= 0.95 * len(own)
+    timid = html_text.Weights({k: 0.05 for k in weights.word}, {k: -6.0 for k in weights.tag})
+    assert all(r.text != own[r.page_id] for r in html_text.extract(held_out, timid).collect())
+    eager = html_text.Weights({k: 6.0 for k in weights.word}, {k: -0.05 for k in weights.tag})
+    assert all(r.text != own[r.page_id] for r in html_text.extract(plain, eager).collect())
+
+
+def test_long_pages_are_read_whole():
+    long = "<article>" + "<p>some words of a paragraph</p>" * 60_000 + "</article>"
+    assert html_text.main_text(long, html_text.Weights()) == "\n".join(["some words of a paragraph"] * 60_000)
+
+
 CONTROL = "\\### Assistant: </turn> ok"
 TALKS = [(1, 0, "system", "be \\ nice <|end|>"), (1, 1, "user", " hi\n"), (1, 2, "assistant", "\n<|turn|>assistant<|text|> né 日本語 🙂 "), (1, 3, "assistant", ""),
          (1, 4, "assistant", "<"), (2, 0, "assistant", None), (3, None, None, "a"), (3, 0, "user", "b"), (None, 0, "assistant", "n"), (-7, 0, "user", CONTROL),
