@@ -2,10 +2,13 @@
 
 A k-mer of code points is an anchor when the least hash among its s-mers is the first or the
 last one. That depends on the k-mer alone, so equal passages have equal anchors wherever they
-stand. A fingerprint holds the SKETCH anchors with the least hashes, each with the position of
-its first occurrence, in text order. Likeness compares two fingerprints: of the least anchors of
-both together, the shared ones that keep their order in both texts are counted, and the share
-of the texts that this estimates (Dice) is returned: 1 for equal texts, 0 for nothing in common.
+stand. A fingerprint holds every anchor whose hash is below one FRACTION-th of all hashes, so it
+grows with the text, and the SKETCH least ones at any rate; each has the position of its first
+occurrence, and they stand in text order. Likeness compares two fingerprints up to the hash
+below which both are complete: of the anchors of both together, the shared ones that keep their
+order in both texts are counted, and the share of the texts that this estimates (Dice) is
+returned: 1 for equal texts, 0 for nothing in common. `passages` gives the stretches that two
+texts share, from runs of shared anchors at one distance of their positions.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, like 1 to
 another empty one and 0 to any other; a text shorter than k is one anchor; equal texts have
@@ -25,10 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from factweave.llm.common import STEP_CHARS, bound_batches
 
-K, S, SKETCH = 16, 6, 64
+K, S, SKETCH, FRACTION = 16, 6, 64, 32
 #: hex digits of an anchor's hash and of its position in a fingerprint
 HASH_DIGITS, PLACE_DIGITS = 10, 8
 ENTRY = HASH_DIGITS + PLACE_DIGITS
+#: hashes below this are in every fingerprint
+ALWAYS = 16**HASH_DIGITS // FRACTION
 BUCKET_ROWS, MAX_BUCKETS = 1000, 4096
 LOWEST = -(2**63)
 
@@ -66,16 +71,17 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str) -> str:
-    """The least anchors as hex digits, ordered by their place in the text."""
+    """The kept anchors as hex digits, ordered by their place in the text."""
     places, hashes = anchors(text)
     hashes >>= np.uint64(64 - 4 * HASH_DIGITS)
     if len(hashes) > 40 * SKETCH:  # only the least ones matter; keep enough for repeats
-        bound = np.partition(hashes, 20 * SKETCH)[20 * SKETCH]
+        bound = max(int(np.partition(hashes, 20 * SKETCH)[20 * SKETCH]), ALWAYS)
         near = hashes <= bound
         if len(np.unique(hashes[near])) >= SKETCH:
             places, hashes = places[near], hashes[near]
     distinct, first = np.unique(hashes, return_index=True)
-    rows = sorted(zip(places[first[:SKETCH]].tolist(), distinct[:SKETCH].tolist()))
+    n = max(SKETCH, int(np.searchsorted(distinct, ALWAYS)))
+    rows = sorted(zip(places[first[:n]].tolist(), distinct[:n].tolist()))
     return "".join(f"{h:0{HASH_DIGITS}x}{p % 16**PLACE_DIGITS:0{PLACE_DIGITS}x}" for p, h in rows)
 
 
@@ -84,6 +90,13 @@ def _entries(print_: str) -> list[str]:
     return [print_[i : i + HASH_DIGITS] for i in range(0, len(print_), ENTRY)]
 
 
+def _known_up_to(entries: list[str]) -> str:
+    """The greatest hash up to which a fingerprint holds all anchors of its text."""
+    if len(entries) < SKETCH:
+        return "f" * HASH_DIGITS
+    return max(max(entries), f"{ALWAYS - 1:0{HASH_DIGITS}x}")
+
+
 def likeness(a: str, b: str) -> float:
     """Share of the texts in common, 0 to 1, estimated from two fingerprints."""
     if a == b:
@@ -91,20 +104,36 @@ def likeness(a: str, b: str) -> float:
     first, second = _entries(a), _entries(b)
     if not first or not second:
         return 0.0
-    both = set(first) & set(second)
-    together = sorted(set(first) | set(second))
-    if len(first) == SKETCH or len(second) == SKETCH:  # beyond the smaller sketch's end nothing is known
-        together = together[:SKETCH]
+    limit = min(_known_up_to(first), _known_up_to(second))
+    first, second = ([h for h in own if h <= limit] for own in (first, second))
     rank = {h: i for i, h in enumerate(second)}
-    known = both & set(together)
+    shared = [rank[h] for h in first if h in rank]
     chain: list[int] = []  # longest run of shared anchors in the order of both texts
-    for i in (rank[h] for h in first if h in known):
+    for i in shared:
         k = bisect_left(chain, i)
         chain[k : k + 1] = [i]
-    share = len(chain) / len(together)
+    share = len(chain) / (len(first) + len(second) - len(shared))
     return 2 * share / (1 + share)
 
 
+def passages(a: str, b: str, least: int = 3) -> list[tuple[int, int, int]]:
+    """(start in the first text, start in the second, length) of shared stretches: `least` or more
+    anchors that follow each other in both fingerprints at one distance of their positions."""
+    first, second = ([(p[i : i + HASH_DIGITS], int(p[i + HASH_DIGITS : i + ENTRY], 16)) for i in range(0, len(p), ENTRY)] for p in (a, b))
+    rank = {h: i for i, (h, _) in enumerate(second)}
+    found, run = [], []  # run: (place in first, place in second, rank in second)
+    for h, place in [*first, (None, 0)]:
+        k = rank.get(h)
+        here = None if k is None else (place, second[k][1], k)
+        if run and here and here[2] == run[-1][2] + 1 and here[0] - here[1] == run[-1][0] - run[-1][1]:
+            run.append(here)
+            continue
+        if len(run) >= least:
+            found.append((run[0][0], run[0][1], run[-1][0] - run[0][0] + K))
+        run = [here] if here else []
+    return found
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, ahead, doc_id, text), sorted for a stream in which each document is followed
     by the next one in descending doc_id (null last); the last is followed by the first.

@@ -162,6 +162,27 @@ def test_likeness_and_edits(make_docs, prose, monkeypatch):
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_fingerprints_grow_with_the_text(prose):
+    part = prose(5, 700, 5000)
+    a, b = (prose(k, 60_000, 5000) + " " + part + " " + prose(k + 10, 60_000, 5000) for k in (1, 2))
+    prints = [syncmers.fingerprint(t) for t in (a, b)]
+    for text, print_ in zip((a, b), prints):
+        places, hashes = syncmers.anchors(text)
+        short = {}
+        for p, h in zip(places.tolist(), (hashes >> np.uint64(24)).tolist()):
+            short.setdefault(h, p)
+        want = sorted((p, h) for h, p in short.items() if h < 16**10 // 32)
+        assert len(want) > 64 and print_ == "".join(f"{h:010x}{p:08x}" for p, h in want)
+    # the passage both hold is found where it stands; other text of theirs is not alike
+    (x, y, n), = [f for f in syncmers.passages(*prints) if f[2] > 1000]
+    assert a[x : x + n] == b[y : y + n] and n > 0.6 * len(part) and part.find(a[x : x + n]) >= 0
+    assert 0 < syncmers.likeness(*prints) < 0.05 and syncmers.passages("", prints[0]) == []
+    half = a[: len(a) // 2] + b[: len(a) - len(a) // 2]
+    brute = [set(syncmers.anchors(t)[1].tolist()) for t in (a, half)]
+    dice = 2 * len(brute[0] & brute[1]) / (len(brute[0]) + len(brute[1]))
+    assert abs(syncmers.likeness(prints[0], syncmers.fingerprint(half)) - dice) < 0.05
+
+
 def test_language_held_out_accuracy_and_rejection(make_docs):
     rnd, rows = random.Random(1), []
     parts = {"aa": ["th", "er", "ing", "ea"], "bb": ["sch", "ung", "ei", "zt"], "cc": ["ción", "ado", "os", "que"]}
