@@ -17,6 +17,7 @@ they come; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -112,6 +113,8 @@ def solve(demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
         others = np.arange(m) != out
         inverse[others] -= np.outer(column[others], inverse[out])
         basis[out] = pattern[classes].astype(float)
+    else:
+        warnings.warn(f"packing plan not solved in {50 * m} turns: it may need up to {worth - 1:.2%} more sequences than the best", stacklevel=2)
     used, left = [], demand.astype(np.int64).copy()
     for amount, column in sorted(zip(amounts, basis), key=lambda x: -x[0]):
         pattern = np.zeros(len(demand), np.int64)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
@@ -183,6 +184,16 @@ def test_fingerprints_grow_with_the_text(prose):
     assert abs(syncmers.likeness(prints[0], syncmers.fingerprint(half)) - dice) < 0.05
 
 
+def test_unsolved_packing_plan_says_so(monkeypatch):
+    demand = np.array([0, 7, 5, 0, 9, 2])
+    whole = packing.solve(demand, 8)
+    monkeypatch.setattr(packing, "GAP", -1.0)
+    with pytest.warns(UserWarning, match="not solved"):
+        late = packing.solve(demand, 8)
+    for plan in (whole, late):
+        assert (sum(times * pattern for times, pattern in plan) >= demand).all()
+
+
 def test_language_held_out_accuracy_and_rejection(make_docs):
     rnd, rows = random.Random(1), []
     parts = {"aa": ["th", "er", "ing", "ea"], "bb": ["sch", "ung", "ei", "zt"], "cc": ["ción", "ado", "os", "que"]}
