@@ -15,6 +15,11 @@ from factweave.operators.ordered import first_rows, positions
 SHELF = 10_000  # consecutive chunks numbered in one task
 
 
+def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Every line of every text, numbered from 0. A null text has no lines."""
+    return documents.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
 _HEADING = re.compile(r"#{1,6}\s+")
 _BLOCK = "reading_order int, chunk_type string, text string, heading string"
 
