@@ -9,6 +9,14 @@ from factweave.operators.counting import relation_counts
 from factweave.operators.pairs import directed
 
 
+#: columns of both facts (a_*, b_*) that relations may still carry from their pairs; then no fact is looked up
+CARRIED = ["raw_value", "norm_value", "period", "scope", "document_id"]
+
+
+def _carries(relations: DataFrame) -> bool:
+    return {"entity_canon", "attribute_canon", *[f"{s}_{c}" for s in "ab" for c in CARRIED]} <= set(relations.columns)
+
+
 def expand_relations(
     relations: DataFrame,
     facts: DataFrame,
@@ -19,6 +27,8 @@ def expand_relations(
     """Relations with both facts and both file names, optionally of one kind or one document."""
     if relation is not None:
         relations = relations.filter(F.col("relation") == relation)
+    if _carries(relations):
+        return _expand_carried(relations, documents, document_id)
     described = facts.join(documents.select("document_id", "filename"), "document_id")
 
     def end(side: str) -> DataFrame:
@@ -38,8 +48,27 @@ def expand_relations(
     return joined
 
 
+def _expand_carried(relations: DataFrame, documents: DataFrame, document_id: str | None) -> DataFrame:
+    if document_id is not None:
+        relations = relations.filter((F.col("a_document_id") == document_id) | (F.col("b_document_id") == document_id))
+    own = [c for c in relations.columns if c not in ("entity_canon", "attribute_canon") and c[2:] not in CARRIED]
+    side = lambda s: [F.col("entity_canon").alias(f"{s}_entity"), F.col("attribute_canon").alias(f"{s}_attribute"), F.col(f"{s}_raw_value").alias(f"{s}_value"),
+                      f"{s}_norm_value", f"{s}_document_id"]
+    rows = relations.select(*own, *side("a"), *side("b"))
+    for s in "ab":
+        rows = rows.join(documents.select(F.col("document_id").alias(f"{s}_document_id"), F.col("filename").alias(f"{s}_filename")), f"{s}_document_id")
+    return rows
+
+
 def counterparts(relations: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
     """For every fact, the facts it is related to, one row each."""
+    if _carries(relations):
+        own = [c for c in relations.columns if c not in ("fact_a", "fact_b", "entity_canon", "attribute_canon") and c[2:] not in CARRIED]
+        end = lambda a, b: F.struct(
+            F.col(f"fact_{a}").alias("fact_id"), F.col(f"fact_{b}").alias("counterpart_id"), F.col(f"{b}_raw_value").alias("counterpart_value"),
+            F.col(f"{b}_period").alias("counterpart_period"), F.col(f"{b}_scope").alias("counterpart_scope"), F.col(f"{b}_document_id").alias("_document"))
+        ends = relations.select(*own, F.explode(F.array(end("a", "b"), end("b", "a"))).alias("_end")).select(*own, "_end.*")
+        return ends.join(documents.select(F.col("document_id").alias("_document"), F.col("filename").alias("counterpart_filename")), "_document").drop("_document")
     other = facts.join(documents.select("document_id", "filename"), "document_id").select(
         F.col("fact_id").alias("counterpart_id"),
         F.col("raw_value").alias("counterpart_value"),
@@ -52,7 +81,9 @@ def counterparts(relations: DataFrame, facts: DataFrame, documents: DataFrame) -
 
 def relation_summary(relations: DataFrame) -> DataFrame:
     """fact_id with the sorted distinct relations it takes part in."""
-    return directed(relations).groupBy("fact_id").agg(F.array_sort(F.collect_set("relation")).alias("relations_summary"))
+    # distinct first: a set that is collected can't be hashed before the shuffle and would sort every relation
+    kinds = directed(relations.select("fact_a", "fact_b", "relation")).select("fact_id", "relation").distinct()
+    return kinds.groupBy("fact_id").agg(F.array_sort(F.collect_set("relation")).alias("relations_summary"))
 
 
 def with_relation_summary(facts: DataFrame, relations: DataFrame) -> DataFrame:
