@@ -8,6 +8,7 @@ from factweave import fixed_values as V
 from factweave.functions.numbers import strip
 from factweave.functions.text import table_hints
 from factweave.operators.ordered import carry_forward, positions
+from factweave.session import write_through
 
 PAGE = ["document_id", "page_number"]
 SHELF = 1_000  # consecutive pages whose summaries meet in one task
@@ -86,11 +87,13 @@ def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def with_heading(blocks: DataFrame) -> DataFrame:
-    """Numbers the blocks of a document through its pages and carries the last heading forward."""
+    """Numbers the blocks of a document through its pages and carries the last heading forward.
+
+    Both steps read their rows several times, so the blocks are written first: they are cut once."""
     title = F.when(F.col("chunk_type") == "heading", F.substring_index("text", "\n", 1))
-    shelved = blocks.withColumns({"_title": title, "_shelf": F.floor(F.col("page_number") / SHELF)})
+    shelved = write_through(blocks.withColumns({"_title": title, "_shelf": F.floor(F.col("page_number") / SHELF)}), "blocks")
     order, segments = ["page_number", "reading_order"], ["_shelf", "page_number"]
-    numbered = positions(shelved, ["document_id"], segments, order, "document_order")
+    numbered = write_through(positions(shelved, ["document_id"], segments, order, "document_order"), "numbered-blocks")
     return carry_forward(numbered, ["document_id"], segments, order, "_title", "heading").drop("_title", "_shelf")
 
 
