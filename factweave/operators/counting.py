@@ -35,6 +35,11 @@ def _choose2(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
+def _name(*parts: Column) -> Column:
+    """Sixteen bytes that stand for the parts, since names travel with every value; parts but the last are of fixed length."""
+    return F.unhex(F.md5(F.concat(*[p.cast("binary") for p in parts])))
+
+
 def _whole(n: Column) -> Column:
     return n.cast("decimal(19,0)")
 
@@ -82,8 +87,9 @@ def _numeric(sure: DataFrame) -> DataFrame:
     """Counts over pairs of numbers with compatible periods: (*BY, relation, n_pairs)."""
     value = F.col("norm_value").cast("double")
     fraction = value.between(0.0, 1.0)
-    named = F.md5(F.concat_ws("\x01", *BY, "period_key", F.lower(clean(F.col("scope"))), F.upper(clean(F.col("currency"))),
+    named = _name(F.concat_ws("\x01", *BY, "period_key", F.lower(clean(F.col("scope"))), F.upper(clean(F.col("currency"))),
                               F.lower(clean(F.col("norm_unit"))), fraction.cast("string")))
+    pair, line = _name(F.col("a_class"), F.col("b_class")), _name(F.col("a_class"), F.col("fa").cast("string"))
     numbers = sure.filter(F.col("norm_value").isNotNull()).withColumn("class", named)
     match_self = F.when(F.abs(value) <= _FINITE, F.col("members")).otherwise(0)
     shown = ["scope", "currency", "norm_unit", "norm_value"]
@@ -98,13 +104,13 @@ def _numeric(sure: DataFrame) -> DataFrame:
         F.when(F.col("_af"), F.lit(100.0)).otherwise(F.lit(1.0)).alias("fa"),
         F.when(F.col("_bf"), F.lit(100.0)).otherwise(F.coalesce("_rate", F.lit(1.0))).alias("fb")), "class-pairs")
     every = F.when(F.col("one"), _choose2(_whole(F.col("a_n")))).otherwise(_whole(F.col("a_n")) * _whole(F.col("b_n"))).cast("decimal(38,0)")
-    alone = met.select(*BY, "_context", F.concat("a_class", F.lit("/"), "b_class").alias("pair"), "one", "a_n_self", every.alias("every"))
+    alone = met.select(*BY, "_context", pair.alias("pair"), "one", "a_n_self", every.alias("every"))
 
     values = numbers.select("class", value.alias("v"), "members").filter(F.abs("v") <= _FINITE)
     compared = met.filter(~F.col("_context")).select(
-        "a_class", "b_class", "fa", "fb", F.concat("a_class", F.lit("/"), "b_class").alias("pair"), F.concat("a_class", F.lit("*"), "fa").alias("line"))
+        "a_class", "b_class", "fa", "fb", pair.alias("pair"), line.alias("line"))
     points = values.withColumnRenamed("class", "a_class").join(compared.select("a_class", "fa", "line").distinct(), "a_class").select(
-        "line", (F.col("v") * F.col("fa")).alias("at"), F.lit(1).alias("place"), F.lit("").alias("pair"), "members", F.lit(0).cast("long").alias("asks"))
+        "line", (F.col("v") * F.col("fa")).alias("at"), F.lit(1).alias("place"), F.lit("").cast("binary").alias("pair"), "members", F.lit(0).cast("long").alias("asks"))
     asking = values.withColumnRenamed("class", "b_class").join(compared, "b_class").withColumn("x", F.col("v") * F.col("fb"))
     low, high = tolerance_interval(F.col("x"))
     ends = F.explode(F.array(F.struct(low.alias("at"), F.lit(0).alias("place"), (-F.col("members")).alias("asks")),
