@@ -277,9 +277,13 @@ QUERIES["stream_dedup"] = stream_dedup
 ORACLES["stream_dedup"] = "SELECT min(doc_id) AS document_id, sha256(text) AS sha256 FROM documents GROUP BY sha256(text)"
 
 
+#: milliseconds of 2000-01-01; a stream's first watermark is 1970, and what is not later than the watermark is dropped
+FIRST_ARRIVAL = 946_684_800_000
+
+
 def stream_dedup_watermark(spark, folder):
-    """Documents as if one came every millisecond; copies up to two days apart are recognised."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "text", F.timestamp_millis(F.coalesce("doc_id", F.lit(0))).alias("at"))
+    """Documents as if one came every millisecond from 2000 on; copies up to two days apart are recognised."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", F.timestamp_millis(F.coalesce("doc_id", F.lit(0)) + F.lit(FIRST_ARRIVAL)).alias("at"))
     run = lambda stream, home: jobs.run_to_table(jobs.distinct_contents(stream, "text", "at", "2 days"), "contents", home)
     return _arriving(docs, "doc_id", 3, run).select("sha256")
 
