@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factweave.session import write_through
+from factweave.session import remove_written, write_through
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def roots(edges: DataFrame) -> DataFrame:
     now = write_through(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before, state = None, mark(now)
     while state != before and state[0]:
-        now = write_through(_stars(_stars(now, large=True), large=False), "stars")
+        earlier, now = now, write_through(_stars(_stars(now, large=True), large=False), "stars")
+        remove_written(earlier)
         before, state = state, mark(now)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
