@@ -130,15 +130,16 @@ def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample_rows: i
     got = sorted((r["lang"], bytes(r["vector"])) for r in sampled.collect())  # about sample_rows vectors
     if not got:
         return Centroids([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
-    counted = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMENSIONS).astype(float)
-    idf = np.log((1 + len(counted)) / (1 + (counted > 0).sum(axis=0))) + 1
-    vectors = counted * idf
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     names = np.array([lang for lang, _ in got])
+    counted = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMENSIONS)
+    del got  # the driver holds the sample once, and one language's vectors in double precision
+    idf = np.log((1 + len(counted)) / (1 + (counted > 0).sum(axis=0))) + 1
     languages = sorted(set(names.tolist()))
     centres, owner, least = [], [], []
     for i, language in enumerate(languages):
-        own = vectors[names == language]
+        own = counted[names == language].astype(float)
+        own *= idf
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
         found = _clusters(own, CENTROIDS)
         centres.append(found)
         owner += [i] * len(found)
