@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factweave.llm.common import STEP_CHARS, bound_batches, steps
+from factweave.session import write_through
 
 DIMENSIONS = 4096
 SAMPLE_ROWS = 2400
@@ -126,25 +127,38 @@ def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample_rows: i
             made = [(lang, f) for lang, f in zip(batch.column(0).to_pylist(), map(features, texts)) if f is not None]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())], names=["lang", "vector"])
 
-    sampled = labelled.filter(chance < F.try_element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(run, "lang string, vector binary")
-    got = sorted((r["lang"], bytes(r["vector"])) for r in sampled.collect())  # about sample_rows vectors
-    if not got:
+    picked = labelled.filter(chance < F.try_element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(run, "lang string, vector binary")
+    sampled = write_through(picked, "language-sample")  # about sample_rows vectors; they stay on the executors
+
+    def dimensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many of the texts have each dimension; dimension -1 counts the texts."""
+        texts, found = 0, np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for vector in batch.column(0):
+                found += np.frombuffer(vector.as_py(), np.float32) > 0
+            texts += batch.num_rows
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMENSIONS), pa.int32()), pa.array([texts, *found.tolist()], pa.int64())], names=["place", "n"])
+
+    counts = sampled.select("vector").mapInArrow(dimensions, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    if not counts:
         return Centroids([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
-    names = np.array([lang for lang, _ in got])
-    counted = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMENSIONS)
-    del got  # the driver holds the sample once, and one language's vectors in double precision
-    idf = np.log((1 + len(counted)) / (1 + (counted > 0).sum(axis=0))) + 1
-    languages = sorted(set(names.tolist()))
-    centres, owner, least = [], [], []
-    for i, language in enumerate(languages):
-        own = counted[names == language].astype(float)
+    by_place = {r["place"]: r["n"] for r in counts}
+    idf = np.log((1 + by_place[-1]) / (1 + np.array([by_place[k] for k in range(DIMENSIONS)]))) + 1
+
+    def learned(rows: pa.Table) -> pa.Table:
+        """The centroids of one language and its least cosine."""
+        own = np.array([np.frombuffer(v, np.float32) for v in sorted(rows["vector"].to_pylist())]).astype(float)
         own *= idf
         own /= np.linalg.norm(own, axis=1, keepdims=True)
         found = _clusters(own, CENTROIDS)
-        centres.append(found)
-        owner += [i] * len(found)
-        least.append(REJECT_PART * float(np.quantile((own @ found.T).max(axis=1), 0.01)))
-    return Centroids(languages, idf, np.concatenate(centres), np.array(owner), np.array(least))
+        least = REJECT_PART * float(np.quantile((own @ found.T).max(axis=1), 0.01))
+        return pa.table({"lang": [rows["lang"][0].as_py()], "centres": [found.tobytes()], "least": [least]})
+
+    model = sorted(tuple(r) for r in sampled.groupBy("lang").applyInArrow(learned, "lang string, centres binary, least double").collect())
+    centres = [np.frombuffer(bytes(c)).reshape(-1, DIMENSIONS) for _, c, _ in model]
+    owner = np.repeat(np.arange(len(model)), [len(c) for c in centres])
+    return Centroids([lang for lang, _, _ in model], idf, np.concatenate(centres), owner, np.array([least for _, _, least in model]))
 
 
 def classify(docs: DataFrame, text: Column, carried: Column, model: Centroids) -> DataFrame:
