@@ -159,3 +159,9 @@ def test_internal_conflicts(make_facts):
     spread = make_facts({"norm_value": 100.0}, {"norm_value": 120.0}, {"norm_value": 100.0, "document_id": "d2"})
     assert tieouts.intra_document_findings(spread).count() == 0
     assert tieouts.intra_document_findings(spread, every_group=True).count() == 1
+
+
+def test_facts_of_small_groups_meet_by_their_keys_alone(spark, make_facts):
+    facts = make_facts(*[{"entity_canon": f"e{i % 3}", "document_id": f"d{i}"} for i in range(30)])
+    assert "Generate" not in pairs.pair_up(facts, KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert pairs.pair_up(facts, KEYS).count() == pairs.pair_up(facts, KEYS, block_rows=3).count() == 3 * 45
