@@ -165,6 +165,12 @@ RATIOS = [
 ]
 
 
+def _status(spark, folder):
+    """What calculations read of the status facts, derived once and read by every branch of a query."""
+    names = ["fact_id", "entity_canon", "attribute_canon", "norm_value", "period"]
+    return facts_of.stored(facts_of.status_facts(spark, folder).select(*names), "status-facts")
+
+
 def _ratio_requests(facts):
     base = facts.filter(F.col("attribute_canon") == "total_revenue").select(
         F.regexp_replace("fact_id", r"total_revenue$", "").alias("stem")
@@ -179,7 +185,7 @@ def _ratio_requests(facts):
 
 
 def calc_ratio(spark, folder):
-    facts = facts_of.status_facts(spark, folder)
+    facts = _status(spark, folder)
     rows = calculations.calculate_ratio(_ratio_requests(facts), facts)
     return rows.select("calc_id", "formula", F.col("result").cast("double").alias("result"), "result_unit", "error")
 
@@ -219,7 +225,7 @@ def _growth_requests(facts):
 
 
 def calc_growth(spark, folder):
-    facts = facts_of.status_facts(spark, folder)
+    facts = _status(spark, folder)
     rows = calculations.calculate_growth(_growth_requests(facts), facts)
     return rows.select("calc_id", "formula", F.col("result").cast("double").alias("result"), "result_unit", "error")
 
@@ -251,7 +257,7 @@ def _foot_requests(facts):
 
 
 def calc_cross_foot(spark, folder):
-    facts = facts_of.status_facts(spark, folder)
+    facts = _status(spark, folder)
     rows = calculations.cross_foot(_foot_requests(facts), facts)
     return rows.select("calc_id", F.col("result").cast("double").alias("result"), "is_verified",
                        F.coalesce(F.substring("error", 1, 8), F.lit("")).alias("error_kind"))
@@ -307,7 +313,7 @@ FROM q
 
 
 def calc_replay(spark, folder):
-    facts = facts_of.status_facts(spark, folder)
+    facts = _status(spark, folder)
     stored = calculations.calculate_ratio(_ratio_requests(facts), facts).unionByName(
         calculations.calculate_growth(_growth_requests(facts), facts)
     ).unionByName(calculations.cross_foot(_foot_requests(facts), facts))
