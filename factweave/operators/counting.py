@@ -1,4 +1,8 @@
-"""Counting fact pairs per relation without making them.
+"""Counting fact pairs per relation without listing them.
+
+Groups of up to SMALL_GROUP facts are counted as their pairs are made, in one join after one
+exchange of the compared columns; nothing else of them reaches a disk. In larger groups pairs
+are not made either:
 
 Low confidence and different periods are settled by arithmetic on group sizes. What is left
 meets within a period. There numbers are classed by all that decides a context (scope, currency,
@@ -10,7 +14,7 @@ and prefix sums answer them. The order is cut into ranges that are summed apart,
 a hot group nor a hot value is one task's work; the whole is n log n. Only claims in words are
 compared in pairs, distinct text with distinct text.
 
-The rules read a pair in the order of its fact ids; here the order is one of classes. It matters
+The rules read a pair in the order of its fact ids; in large groups the order is one of classes. It matters
 only where two currencies meet and a value is below SMALLEST_DENOMINATOR (the tolerance is
 absolute there) or one of them is a percentage and the other a fraction.
 """
@@ -21,11 +25,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave import fixed_values as V
 from factweave.functions.numbers import relative_delta
+from factweave.operators.ordered import large_groups
 from factweave.operators.pairs import pair_across
-from factweave.operators.reconcile import apply_rules, claims, clean, sides
+from factweave.operators.reconcile import COMPARED, apply_rules, claims, clean, prepared, sides
 from factweave.session import write_through
 
 BY = ["entity_canon", "attribute_canon"]
+#: facts of a group whose pairs are made and counted at once
+SMALL_GROUP = 256
 #: steps of the last binary place around an interval's computed end, in which the exact end lies
 ULPS = range(-4, 5)
 _FINITE = 1.7976931348623157e308
@@ -145,9 +152,30 @@ def _worded(sure: DataFrame) -> DataFrame:
     return apply_rules(met, explain=False).select(*BY, "relation", weight.alias("n_pairs"))
 
 
+def _of_small_groups(known: DataFrame) -> DataFrame:
+    """Counts over all pairs of groups that are small: (*BY, relation, n_pairs)."""
+    compared = [c for c in known.columns if c in (*COMPARED, "quote") and c != "document_id"]
+    told = prepared(known.select(*BY, *compared)).drop(*[c for c in compared if c != "fact_id"])
+    told = told.repartition(*BY)  # one exchange for both sides
+    side = lambda s: told.select(*BY, *[F.col(c).alias(f"{s}_{c}") for c in told.columns if c not in BY])
+    met = side("a").hint("merge").join(side("b"), BY).filter(F.col("a_fact_id") < F.col("b_fact_id"))
+    return apply_rules(met, explain=False).groupBy(*BY, "relation").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n_pairs"))
+
+
 def relation_counts(facts: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Number of fact pairs per relation, per `group` (of entity_canon, attribute_canon) if given."""
-    c = write_through(claims(facts.dropna(subset=BY)), "claims")
+    known = facts.dropna(subset=BY)
+    large = large_groups(known, BY, SMALL_GROUP)
+    if large.isEmpty():  # facts are not shuffled for a path that none of them takes
+        counts = _of_small_groups(known)
+    else:
+        counts = _of_small_groups(known.join(large, BY, "left_anti")).unionByName(_of_large_groups(known.join(large, BY, "left_semi")))
+    return counts.groupBy(*(group or []), "relation").agg(F.sum("n_pairs").cast("long").alias("n_pairs"))
+
+
+def _of_large_groups(known: DataFrame) -> DataFrame:
+    """Counts over all pairs of groups of any size, by arithmetic and sorted values: (*BY, relation, n_pairs)."""
+    c = write_through(claims(known), "claims")
     n = _whole(F.col("members"))
     per_period = c.groupBy(*BY, "period_key").agg(F.sum(n).alias("n"), F.sum(F.when(~F.col("low"), n).otherwise(0)).alias("ok"))
     dated = F.when(F.col("period_key") != "", F.col("ok")).otherwise(0).cast("decimal(19,0)")
@@ -160,5 +188,4 @@ def relation_counts(facts: DataFrame, group: list[str] | None = None) -> DataFra
         F.struct(F.lit("needs_review").alias("relation"), low.alias("n_pairs")),
         F.struct(F.lit("contextual_variance").alias("relation"), apart.alias("n_pairs")))).alias("r")).select(*BY, "r.*")
     sure = c.filter(~F.col("low")).withColumn("period", F.nullif("period_key", F.lit("")))
-    counts = arithmetic.unionByName(_numeric(sure)).unionByName(_worded(sure)).filter(F.col("n_pairs") > 0)
-    return counts.groupBy(*(group or []), "relation").agg(F.sum("n_pairs").cast("long").alias("n_pairs"))
+    return arithmetic.unionByName(_numeric(sure)).unionByName(_worded(sure)).filter(F.col("n_pairs") > 0)
