@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from factweave.operators import counting, pairs, reconcile
+from factweave.operators import counting, pairs, reconcile, relations
 
 KEYS = ["entity_canon", "attribute_canon"]
 
@@ -29,5 +29,5 @@ def test_small_and_large_groups_give_the_same_counts(monkeypatch, facts, small):
 def test_small_groups_write_no_working_tables(monkeypatch, facts):
     written, old = [], counting.write_through
     monkeypatch.setattr(counting, "write_through", lambda df, name: written.append(name) or old(df, name))
-    assert counting.relation_counts(facts).count() == 4
+    assert counting.relation_counts(facts).count() == 4 and relations.matrix_of_facts(facts).count() > 2
     assert written == []
