@@ -91,11 +91,11 @@ def write_csv(df: DataFrame, path: str, labels: dict[str, str] | None = None) ->
     named.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def audit_rows(df: DataFrame, action: str, target: Column, meta: Column, actor: str = "system") -> DataFrame:
-    """Audit rows for an event per row of `df`."""
+def audit_rows(df: DataFrame, action: str, target: Column, meta: Column, keep: list[str] | None = None, actor: str = "system") -> DataFrame:
+    """Audit rows for an event per row of `df`, with the columns `keep` of the row beside them."""
     return df.select(
         F.current_timestamp().alias("at"), F.lit(actor).alias("actor"), F.lit(action).alias("action"),
-        F.to_json(target).alias("target"), F.to_json(meta).alias("meta"),
+        F.to_json(target).alias("target"), F.to_json(meta).alias("meta"), *(keep or []),
     ).withColumn("day", F.to_date("at"))
 
 
